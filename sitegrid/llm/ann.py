@@ -30,14 +30,14 @@ def _completed(m: np.ndarray, longest: float) -> np.ndarray:
     return np.column_stack([m, np.sqrt(np.maximum(0, 1 - (m * m).sum(1)))])
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 256, prefix: int = 8, visit: int = 12, rerank: int = 192, chunk: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 128, prefix: int = 8, visit: int = 24, rerank: float = 0.75, chunk: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) with up to k rows for each row of queries: vectors with the largest inner product.
 
     Candidates are all rows of vectors but the query's own id; ties go to the smaller id. score is the inner product in double
     precision. Vectors that are null, all zero, or hold null or non-finite components take no part, as candidates or as
     queries; nor do candidates of another length than the query. Pivots are a sample of at most ``pivots`` vectors of the
     commonest length in it; every vector is indexed. If no more than k + 1 distinct vectors exist, all are
-    compared. Ids must be distinct longs; other columns are ignored; an empty table gives an empty one.
+    compared. rerank: the share of a chunk, best footrule first, that is compared exactly. Ids must be distinct longs; other columns are ignored; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(usable(F.col("v"))).withColumn("key", F.sha2(F.to_json("v"), 256))
@@ -70,43 +70,51 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 2
 
         return run
 
-    posts = materialize(classes.select("rep", "v", "ids").mapInArrow(order(n_prefix), "rep long, v array<double>, ids array<long>, near array<int>"), "posts")
+    posts = materialize(classes.select("rep", "v").mapInArrow(order(n_prefix), "rep long, v array<double>, near array<int>"), "posts")
     asked = keyed.join(queries.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi").select("id", "key")
     asked = materialize(asked.join(classes.select("key", "rep"), "key").select("id", "rep"), "asked")
     asks = materialize(classes.select("rep", "v").join(asked.select("rep").distinct(), "rep", "left_semi").mapInArrow(order(n_visit), "rep long, v array<double>, near array<int>"), "asks")
     sizes = materialize(posts.select(F.explode("near").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")), "files")
     files = F.broadcast(sizes)  # one row a pivot: no more than the number of pivots
-    posted = posts.select(F.explode("near").alias("pivot"), "rep", "v", "ids", "near").join(files, "pivot").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    posted = posted.select("pivot", "part", F.lit(0).alias("ask"), "rep", "v", "ids", "near")
+    posted = posts.select(F.explode("near").alias("pivot"), "rep", "v", "near").join(files, "pivot").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    posted = posted.select("pivot", "part", F.lit(0).alias("ask"), "rep", "v", "near")
     visits = asks.select(F.explode("near").alias("pivot"), "rep", "v", "near").join(files, "pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    # a chunk's queries in slices too, each with its own copy of nothing but the slice number
-    visits = visits.select("pivot", "part", F.lit(1).alias("ask"), "rep", "v", F.array().cast("array<long>").alias("ids"), "near")
+    visits = visits.select("pivot", "part", F.lit(1).alias("ask"), "rep", "v", "near")
 
-    def search(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pivot, q, c = key[0], pdf[pdf.ask == 1], pdf[pdf.ask == 0]
-        rows = []
+    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pivot, q, c, out = key[0], pdf[pdf.ask == 1], pdf[pdf.ask == 0], []
         for n in {len(x) for x in q.v} & {len(x) for x in c.v}:
             qs, cs = q[[len(x) == n for x in q.v]], c[[len(x) == n for x in c.v]]
             cv, rep = np.stack(cs.v.to_numpy()), cs.rep.to_numpy()
-            place = np.full((len(cs), max(len(shared.value), 1)), n_prefix, np.int32)
+            place = np.full((max(len(shared.value), 1), len(cs)), n_prefix, np.int16)
             for i, near in enumerate(cs.near):
-                place[i, near] = np.arange(len(near))
-            ids = [x.tolist() for x in cs.ids]
-            for own, qv, near in zip(qs.rep, qs.v, qs.near, strict=True):
-                near = near[:n_prefix] if pivot in near[:n_prefix] else np.append(near[: n_prefix - 1], pivot)
-                foot = np.abs(place[:, near] - np.arange(len(near))).sum(1)
-                at = np.argsort(foot, kind="stable")[:rerank] if len(foot) > rerank else np.arange(len(foot))
-                dot = cv[at] @ qv
-                best = np.lexsort((rep[at], -dot))[: k + 1]
-                rows += [(own, rep[at[j]], ids[at[j]], cv[at[j]]) for j in best]
-        return pd.DataFrame(rows, columns=["rep", "other", "ids", "ov"])
-
-    found = posted.unionByName(visits).groupBy("pivot", "part").applyInPandas(search, "rep long, other long, ids array<long>, ov array<double>")
+                place[near, i] = np.arange(len(near))
+            most = min(len(cs), max(k + 1, int(np.ceil(rerank * len(cs)))))
+            for at in range(0, len(qs), 256):
+                some = qs.iloc[at : at + 256]
+                qv = np.stack(some.v.to_numpy())
+                near = [x[:n_prefix] if pivot in x[:n_prefix] else np.append(x[: n_prefix - 1], pivot) for x in some.near]
+                dot = qv @ cv.T
+                if most < len(cs):
+                    near = np.stack(near)
+                    foot = sum(np.abs(place[near[:, j]] - np.int16(j)) for j in range(near.shape[1]))
+                    dot[foot > np.partition(foot, most - 1, axis=1)[:, most - 1 : most]] = -np.inf
+                top = min(k + 8, len(cs))
+                best = np.argpartition(-dot, top - 1, axis=1)[:, :top]
+                for i, own in enumerate(some.rep):
+                    j = best[i][dot[i, best[i]] > -np.inf]
+                    exact = (cv[j] * qv[i]).sum(1)
+                    order = np.lexsort((rep[j], -exact))[: k + 1]
+                    out.append((np.full(len(order), own), rep[j][order], exact[order]))
+        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [[], [], []]
+        return pd.DataFrame({"rep": cols[0], "other": cols[1], "score": cols[2]})
+
+    found = posted.unionByName(visits).groupBy("pivot", "part").applyInPandas(search, "rep long, other long, score double")
     # a pair that several files give counts once
-    once = found.groupBy("rep", "other").agg(F.first("ids").alias("ids"), F.first("ov").alias("ov"))
-    dotted = once.join(asks.select("rep", "v"), "rep").withColumn("score", F.aggregate(F.zip_with("v", "ov", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)).select("rep", "other", "ids", "score")
+    once = found.groupBy("rep", "other").agg(F.max("score").alias("score"))
     first = Window.partitionBy("rep").orderBy(F.desc("score"), "other")
-    close = dotted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("rep", F.explode("ids").alias("vec_id"), "score")
+    best = once.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("rep", "other", "score")
+    close = best.join(classes.select(F.col("rep").alias("other"), "ids"), "other").select("rep", F.explode("ids").alias("vec_id"), "score")
     ranked = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
     answers = materialize(close.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found")), "answers")
     mine = asked.join(answers, "rep").select("id", F.slice(F.filter("found", lambda x: x.vec_id != F.col("id")), 1, k).alias("found"))
