@@ -37,13 +37,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 1
     precision. Vectors that are null, all zero, or hold null or non-finite components take no part, as candidates or as
     queries; nor do candidates of another length than the query. Pivots are a sample of at most ``pivots`` vectors of the
     commonest length in it; every vector is indexed. If no more than k + 1 distinct vectors exist, all are
-    compared. rerank: the share of a chunk, best footrule first, that is compared exactly. Ids must be distinct longs; other columns are ignored; an empty table gives an empty one.
+    compared. rerank: the share of a chunk, best footrule first, that is compared exactly. Ids are longs; repeated
+    rows are one vector, and rows without an id take no part. Other columns are ignored; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(usable(F.col("v"))).withColumn("key", F.sha2(F.to_json("v"), 256))
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("key", F.sha2(F.to_json("v"), 256))
     keyed = materialize(v, "keyed")
     # the k + 1 smallest ids of each class of equal vectors, salted so that no class meets in one task
-    salted = keyed.select("key", "id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
+    salted = keyed.select("key", "id").distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     few = lambda df, *by: df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
     ids = few(few(salted, "key", "salt").drop("salt"), "key").groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     classes = materialize(keyed.groupBy("key").agg(F.first("v").alias("v"), F.min("id").alias("rep")).join(ids, "key").select("rep", "key", "v", "ids"), "classes")
@@ -71,7 +72,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 1
         return run
 
     posts = materialize(classes.select("rep", "v").mapInArrow(order(n_prefix), "rep long, v array<double>, near array<int>"), "posts")
-    asked = keyed.join(queries.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi").select("id", "key")
+    asked = keyed.select("id", "key").join(queries.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi").distinct()
     asked = materialize(asked.join(classes.select("key", "rep"), "key").select("id", "rep"), "asked")
     asks = materialize(classes.select("rep", "v").join(asked.select("rep").distinct(), "rep", "left_semi").mapInArrow(order(n_visit), "rep long, v array<double>, near array<int>"), "asks")
     sizes = materialize(posts.select(F.explode("near").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")), "files")

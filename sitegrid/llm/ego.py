@@ -70,12 +70,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, axes: int = 6, lea
     Rows with equal, non-null labels whose vectors have a cosine of at least threshold, in double precision, are linked. Null
     vectors, all-zero ones, and those that hold null or non-finite components link with nothing; nor do vectors of
     different lengths. n_links counts other rows; component_id is the smallest id that links reach; kept: it is the row's
-    own. Ids must be distinct longs; other columns are ignored; an empty table gives an empty one.
+    own. Ids are longs; repeated rows are one vector and get a row each; rows without an id link with nothing, have no
+    component and are kept. Other columns are ignored; an empty table gives an empty one.
     """
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold))) * (1 + 1e-9) + 1e-9
-    d = vectors.select(F.col(id_col).cast("long").alias("id"), F.concat_ws(":", F.size(vector_col), F.col(label_col).cast("string")).alias("label"), F.col(vector_col).alias("v"), (F.col(label_col).isNotNull() & usable(F.col(vector_col))).alias("ok"))
+    d = vectors.select(F.col(id_col).cast("long").alias("id"), F.concat_ws(":", F.size(vector_col), F.col(label_col).cast("string")).alias("label"), F.col(vector_col).alias("v"), (F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & usable(F.col(vector_col))).alias("ok"))
     keyed = materialize(d.withColumn("key", F.when(F.col("ok"), F.sha2(F.concat(F.col("label"), F.lit("|"), F.to_json(F.col("v").cast("array<double>"))), 256))), "keyed")
-    classes = materialize(keyed.where("ok").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("many"), F.first("label").alias("label"), F.first("v").alias("v")), "classes")
+    many = keyed.where("ok").groupBy("key").agg(F.count_distinct("id").alias("many"))
+    classes = keyed.where("ok").groupBy("key").agg(F.min("id").alias("rep"), F.first("label").alias("label"), F.first("v").alias("v"))
+    classes = materialize(classes.join(many, "key"), "classes")
     some = {}
     for r in classes.select("v").orderBy(F.xxhash64("rep"), "rep").limit(sample).toLocalIterator():
         some.setdefault(len(r.v), []).append(r.v)
@@ -168,5 +171,5 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, axes: int = 6, lea
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("linked"))
     of = materialize(classes.select("key", "rep", "many").join(counts.withColumnRenamed("a", "rep"), "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", (F.col("many") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")), "of")
     out = keyed.select("id", "key").join(of, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"), (F.col("id") == F.coalesce("component", "id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"))
 

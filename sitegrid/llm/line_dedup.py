@@ -22,24 +22,24 @@ def _trim(line: Column) -> Column:
     return F.btrim(line, F.lit(EDGES))
 
 
-def line_dedup(docs: DataFrame, min_sites: int = 12, max_share: float = 0.5, lg_k: int = 12, margin: float = 0.2, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def line_dedup(docs: DataFrame, min_sites: int = 12, max_share: float = 0.5, lg_k: int = 12, margin: float = 0.2, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, text, n_lines, n_removed: long): texts without their cross-site boilerplate lines.
 
     A line is what newlines separate, compared without blanks at its ends; blank lines are kept. A line is boilerplate
     if at least min_sites distinct non-null sites carry it. It is removed unless boilerplate lines hold more than max_share
     of the document's characters in lines. Null texts stay null with 0 lines; lines of null sites count for no site but
-    are removed like others. Lines are told apart by 64-bit hashes. Rows with the same id must be the same document;
-    other columns are ignored. margin: relative distance from min_sites within which sites are counted exactly; it is
+    are removed like others. Lines are told apart by 64-bit hashes. Every row is treated by its own text, repeated rows
+    and rows without an id too. Of the other columns, those named in keep are kept. An empty table gives an empty one. margin: relative distance from min_sites within which sites are counted exactly; it is
     several times the sketch's error of about 1.04 / sqrt(2 ** lg_k).
     """
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(site_col).cast("string").alias("site"))
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(site_col).cast("string").alias("site"), F.struct(F.lit(0), *keep).alias("rest"))
     line = d.select("id", "site", F.explode(F.split("text", "\n", -1)).alias("line")).select("id", "site", _trim("line").alias("line")).where("line <> ''").select("id", "site", F.xxhash64("line").alias("h"))
     spread = materialize(line.groupBy("h").agg(F.count("site").alias("n"), F.hll_sketch_agg("site", lg_k).alias("sites")).where(F.col("n") >= min_sites).select("h", F.hll_sketch_estimate("sites").alias("about")).where(F.col("about") >= min_sites * (1 - margin)), "spread")
     near = spread.where(F.col("about") <= min_sites * (1 + margin)).select("h")
     exact = line.join(near, "h", "left_semi").select("h", "site").distinct().groupBy("h").agg(F.count("site").alias("sites")).where(F.col("sites") >= min_sites).select("h")
     common = materialize(spread.where(F.col("about") > min_sites * (1 + margin)).select("h").union(exact), "common")
-    found = materialize(line.select("id", "h").join(common, "h", "left_semi").select("id", "h").distinct().groupBy("id").agg(F.collect_list("h").alias("common")), "found")
-    parts = d.select("id", "text").join(found, "id", "left").withColumn("lines", F.split("text", "\n", -1))
+    found = materialize(line.select("id", "h").join(common, "h", "left_semi").select("id", "h").distinct().groupBy("id").agg(F.collect_list("h").alias("common")).select(F.col("id").alias("found_id"), "common"), "found")
+    parts = d.select("id", "text", "rest").join(found, F.col("id").eqNullSafe(F.col("found_id")), "left").withColumn("lines", F.split("text", "\n", -1))
     is_common = lambda x: (_trim(x) != "") & F.array_contains("common", F.xxhash64(_trim(x)))
     lost = F.filter("lines", is_common)
     chars = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(_trim(x)))
@@ -49,6 +49,7 @@ def line_dedup(docs: DataFrame, min_sites: int = 12, max_share: float = 0.5, lg_
         F.when(F.col("cut"), F.array_join(F.filter("lines", lambda x: ~is_common(x)), "\n")).otherwise(F.col("text")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.when(F.col("cut"), F.size("lost")).otherwise(0).cast("long").alias("n_removed"),
+        *(F.col("rest").getField(c).alias(c) for c in keep),
     )
 
 

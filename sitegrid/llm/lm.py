@@ -108,13 +108,14 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, size: int = 510, dim:
 
     Learns from texts whose crc32 of the id as text, modulo folds, is not held. Tokens: words that blanks separate, A-Z
     lower-cased, and one end of the text. base_score sums log10((c + 0.5) / (N + 0.5 (V + 1))); score is the model's log10
-    probability. Null and empty texts are an end only. Without any training text, N = V = 0. Repeated rows are scored
-    each but learned from each; ids must be longs; other columns are ignored; an empty table gives an empty one. Each task
+    probability. Null and empty texts are an end only. Without any training text, N = V = 0. Repeated rows are learned
+    from and scored each; rows without an id are learned from. Ids are longs; other columns are ignored; an empty table
+    gives an empty one. Each task
     trains on one in ``share`` of its training positions. table: words whose counts are broadcast, at most 64 bytes each.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    train = lambda i: zlib.crc32(str(i).encode()) % folds != held
+    train = lambda i: i is None or zlib.crc32(str(i).encode()) % folds != held
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -190,8 +191,8 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, size: int = 510, dim:
         extra = np.log10((c + 0.5) / low_other) * np.array([w not in model_words for w in known], float)
         base, extra = base.tolist(), extra.tolist()
         for b in pieces(batches, 1):
-            ids, kinds, head, rare = b.column(0).to_pylist(), [], [], []
-            for i, t in zip(ids, b.column(1).to_pylist(), strict=True):
+            rows, kinds, head, rare = b.column(2).to_pylist(), [], [], []
+            for row, t in zip(rows, b.column(1).to_pylist(), strict=True):
                 tokens = (t or "").encode().lower().split()
                 tokens.append(END)
                 kinds.append([get(x, 1) for x in tokens])
@@ -199,7 +200,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, size: int = 510, dim:
                 for x, n in Counter(tokens).items():
                     at = known.get(x)
                     if at is None:
-                        rare.append((i, x, n))
+                        rare.append((row, x, n))
                     else:
                         n_known += n
                         sum_base += n * base[at]
@@ -208,15 +209,16 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, size: int = 510, dim:
             u, v, w, start = _contexts(kinds, classes)
             prob = np.add.reduceat(model.log10_prob(u, v, w), start)
             n, k, s, e = zip(*head, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.string()), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.float64()), pa.array(np.array(e) + prob, pa.float64())], names=["id", "word", "n", "known", "base", "model"])
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.nulls(len(rows), pa.string()), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.float64()), pa.array(np.array(e) + prob, pa.float64())], names=["row", "id", "word", "n", "known", "base", "model"])
             if rare:
-                i, x, n = zip(*rare, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(x, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.float64()), pa.nulls(len(i), pa.float64())], names=["id", "word", "n", "known", "base", "model"])
+                r, x, n = zip(*rare, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.nulls(len(r), pa.int64()), pa.array(x, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.float64()), pa.nulls(len(r), pa.float64())], names=["row", "id", "word", "n", "known", "base", "model"])
 
-    rows = materialize(d.mapInArrow(rate, "id long, word string, n long, known long, base double, model double"), "rows")
+    # a row number of its own tells repeated rows apart; it is written once, with what hangs on it
+    rows = materialize(d.withColumn("row", F.monotonically_increasing_id()).mapInArrow(rate, "row long, id long, word string, n long, known long, base double, model double"), "rows")
     c = F.coalesce("c", F.lit(0))
-    rare = rows.where("word is not null").select("id", "word", "n").join(counts, "word", "left").select("id", F.lit(0).cast("long").alias("tokens"), F.when(c > 0, F.col("n")).otherwise(0).cast("long").alias("known"), (F.col("n") * F.log10((c + 0.5) / low)).alias("base"), (F.col("n") * F.log10((c + 0.5) / low_other)).alias("model"))
-    whole = rows.where("word is null").select("id", F.col("n").alias("tokens"), "known", "base", "model")
-    total = whole.union(rare.groupBy("id").agg(*(F.sum(x).alias(x) for x in ("tokens", "known", "base", "model")))).groupBy("id").agg(*(F.sum(x).alias(x) for x in ("tokens", "known", "base", "model")))
-    held_out = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(folds)) == held
+    rare = rows.where("word is not null").select("row", "word", "n").join(counts, "word", "left").select("row", F.lit(0).cast("long").alias("tokens"), F.when(c > 0, F.col("n")).otherwise(0).cast("long").alias("known"), (F.col("n") * F.log10((c + 0.5) / low)).alias("base"), (F.col("n") * F.log10((c + 0.5) / low_other)).alias("model"))
+    whole = rows.where("word is null").select("row", "id", F.col("n").alias("tokens"), "known", "base", "model")
+    total = whole.unionByName(rare.groupBy("row").agg(*(F.sum(x).alias(x) for x in ("tokens", "known", "base", "model"))), allowMissingColumns=True).groupBy("row").agg(F.max("id").alias("id"), *(F.sum(x).alias(x) for x in ("tokens", "known", "base", "model")))
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(folds)) == held, F.lit(False))
     return total.select(F.col("id").alias(id_col), held_out.alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"))

@@ -81,8 +81,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, side: int =
     Words are what blanks (space, tab to carriage return) separate, A-Z lower-cased; a document's set holds its distinct
     k-word shingles, or its whole sequence if it has fewer words. Documents with
     100 * intersection >= percent * union are linked. component_id: the smallest id that links reach; kept: it is the
-    row's own. Null, empty and blank texts have no shingles and link with nothing. Ids must be distinct, not null longs;
-    other columns are ignored; an empty table gives an empty one. At a similarity of exactly 0.8, side 8 misses a pair of
+    row's own. Null, empty and blank texts have no shingles and link with nothing. Ids are longs; repeated rows are one
+    document and get a row each; rows without an id link with nothing, have no component and are kept. Other columns are
+    ignored; an empty table gives an empty one. At a similarity of exactly 0.8, side 8 misses a pair of
     documents with probability 0.0006, and fewer above it.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -108,4 +109,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, side: int =
     comp = materialize(components(links.union(more)), "components")
     grouped = sig.select("id", "n", "d1", "d2").join(first, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     out = grouped.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -33,16 +33,19 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     return s.select("source", "source_size", "weight", F.when(F.col("ratio") <= F.col("free"), F.col("cap").cast("double")).otherwise(F.col("free") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block: int = 64, shard_words: int = 65_536, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block: int = 64, shard_words: int = 65_536, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole_rows: bool = False) -> DataFrame:
     """(id_col, source, size, source_size, target, taken, epochs): how many words of each document the mix takes.
 
     taken counts repeats: epochs whole passes over the document plus the words of it that lie in chosen blocks, so it
     never exceeds most x size. Null and empty texts have size 0 and are never taken; null is a source of its own, the
-    last in order. An empty table gives an empty one. Ids should be distinct; repeated rows are taken each. Other columns
-    are ignored. Ties in quotients go to the smaller source or shard. A source's taken words differ from its target by at
+    last in order. An empty table gives an empty one. Repeated rows are taken each; rows without an id are placed by
+    their texts. Other columns are ignored, or kept as a struct "row" with the given ones if whole_rows. Ties in quotients go to the smaller source or shard. A source's taken words differ from its target by at
     most a block, and by half a block per sqrt(shards) or so for many shards.
     """
-    d = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))).alias("place")), "sizes")
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if whole_rows else []
+    named = F.coalesce(F.col(id_col).cast("string"), F.md5(text_col), F.lit(""))
+    d = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), named)).alias("place"), *row)
+    d = materialize(d, "sizes")
     goal = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)))
     # apportionment of the house of blocks among sources
@@ -60,13 +63,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bl
     quota = F.when(F.col("source_size") > 0, F.floor(F.col("seats") * (F.col("shard_size") / F.col("source_size")) + 0.5)).otherwise(0).cast("long")
     placed = placed.withColumn("quota", quota)
     chosen = F.greatest(F.lit(0), F.least(F.col("end"), F.col("quota") * block) - (F.col("end") - F.col("size")))
-    return placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.least(chosen, (most - F.col("epochs")) * F.col("size"))).cast("long").alias("taken"), F.col("epochs").cast("long").alias("epochs"))
+    return placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.least(chosen, (most - F.col("epochs")) * F.col("size"))).cast("long").alias("taken"), F.col("epochs").cast("long").alias("epochs"), *(["row"] if whole_rows else []))
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs in the mix: a document as often as it is taken, to the nearest whole number."""
-    taken = mix(docs, **how).where("taken > 0").select(F.col("doc_id").alias("m_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("m_times")).where("m_times > 0")
-    return docs.join(materialize(taken, "taken"), F.col("doc_id") == F.col("m_id")).withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_times")))).select(*docs.columns)
+    taken = mix(docs, **how, whole_rows=True).where("taken > 0").select("row", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 SQL = r"""

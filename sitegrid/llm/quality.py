@@ -154,8 +154,25 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all of their columns, whose texts score at least threshold. Nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in pieces(batches, at):
+            data, off = raw(b.column(at))
+            good = m.score(np.array([features(data[i:j]) for i, j in zip(off, off[1:], strict=False)])) >= threshold
+            if good.any():
+                yield b.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
-    """(doc_id, held_out, score, predicted): labels' rows in the held-out fold are never learned from."""
+    """(doc_id, held_out, score, predicted): labels' rows in the held-out fold are never learned from. Rows without an id
+    are scored, neither learned from nor held out."""
     m = train(docs, labels, **how)
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(how.get("folds", 5))) == how.get("held", 0)
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(how.get("folds", 5))) == how.get("held", 0), F.lit(False))
     return score(docs, m).select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
