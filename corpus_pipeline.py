@@ -1,4 +1,8 @@
-"""From raw documents to token ids: quality, boilerplate lines, near-duplicates, mixture, encoding."""
+"""From raw documents to token ids: quality, boilerplate lines, near-duplicates, mixture, encoding.
+
+Every stage takes any rows with the columns of documents. Repeated rows, null texts, rows without an id and an empty table
+pass through each; other columns than these are dropped.
+"""
 
 from __future__ import annotations
 
@@ -16,27 +20,25 @@ ORACLE_SQL = None
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It learns from the documents at hand and their labels."""
-    said = quality.classify(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
-    good = materialize(said.where("predicted = 1").select("doc_id"), "good")
-    return docs.join(good, "doc_id", "left_semi").select(*COLUMNS)
+    model = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality.accepted(docs.select(*COLUMNS), model)
 
 
 def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many sites share; n_chars follows the text."""
-    cut = line_dedup.line_dedup(docs).where("n_removed > 0").select("doc_id", F.col("text").alias("shorter"))
-    out = docs.join(materialize(cut, "cut"), "doc_id", "left")
-    return out.select("doc_id", F.coalesce("shorter", "text").alias("text"), "lang", "source", F.when(F.col("shorter").isNull(), F.col("n_chars")).otherwise(F.length("shorter")).cast("long").alias("n_chars"))
+    """All documents, without the lines that many sites share; n_chars follows the text where lines went."""
+    cut = line_dedup.line_dedup(docs, keep=("lang", "source", "n_chars"))
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    kept = materialize(minhash.near_duplicates(docs).where("kept").select("doc_id"), "kept")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    lost = materialize(minhash.near_duplicates(docs).where("not kept").select("doc_id"), "lost")
+    return docs.join(lost, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them: repeated rows have the same doc_id."""
-    return mixing.mixed_rows(docs).select(*COLUMNS)
+    return mixing.mixed_rows(docs.select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
