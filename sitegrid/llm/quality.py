@@ -84,7 +84,7 @@ class Model:
 
     def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400) -> None:
         x = np.vstack([positive, unlabelled]).astype(np.float64)
-        self.mean, self.std = x.mean(0), x.std(0) + 1e-3
+        self.mean, self.std = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
         x = self._scaled(x)
         p = np.arange(len(x)) < len(positive)
         self.weights, self.prior = np.zeros(x.shape[1]), 1.0

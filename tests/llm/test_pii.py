@@ -1,0 +1,77 @@
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from sitegrid.llm import pii
+from sitegrid.llm.queries import queries
+from tests.llm import brute
+from tests.llm.brute import EDGE_TEXTS, base_spans, sha
+
+
+def joined(spans):
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+
+
+def test_whole_table(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = queries()["op3_pii"](spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == sha(joined(base))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in base) for x in pii.KINDS[:4]]
+        every = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)]
+        assert set(base) <= set(every)
+        assert every == sorted(every, key=lambda x: (x[1], pii.KINDS.index(x[0])))
+        assert len(every) == len(base) + r.n_added
+
+
+def test_edges(spark):
+    rows = [(i, t, i, "x") for i, t in enumerate(EDGE_TEXTS)] + [(4, "call +1 (555) 010-2030 x@y.zz", 0, None), (None, "1.2.3.4", 0, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, base long, added string")
+    out = pii.pii(df).collect()
+    assert len(out) == len(rows)
+    for r, (_, t, _, _) in zip(sorted(out, key=lambda r: (r.doc_id is None, r.doc_id, len(r.base))), sorted(rows, key=lambda r: (r[0] is None, r[0], len(base_spans(r[1])))), strict=True):
+        assert [(x.kind, x.start, x.end) for x in r.base] == base_spans(t)
+    assert pii.pii(df.limit(0)).collect() == []
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.text(alphabet="01259.@+- ()ab_%é\n\U0001f600", max_size=60) | st.text(max_size=40))
+def test_base_of_any_text(text):
+    assert [(pii.KINDS[k], s, e) for s, e, k in pii.base(text)] == base_spans(text)
+
+
+def test_base_where_matches_are_dense():
+    r = np.random.default_rng(2)
+    card = lambda: next(str(x) for x in r.integers(10**15, 10**16, 1000) if brute.luhn(str(x)))
+    for _ in range(300):
+        parts = [*(card() for _ in range(2)), "a.b+c@d-e.f.g", "@x.y", "a@b", "a@b.c@d.e", "1.2.3.4.5.6.7.8", "256.1.1.1", "0001.2.3.4", "+12 (345) 678-9012", "+1+23456789012", "++1234567890", "1" * 30, "4111-1111 1111-1111", "1.2.3"]
+        text = "".join(parts[i] + str(r.choice(["", " ", ",", "-", "."])) for i in r.integers(0, len(parts), 12))
+        assert [(pii.KINDS[k], s, e) for s, e, k in pii.base(text)] == base_spans(text), text
+
+
+def test_model_on_texts_it_has_not_seen():
+    """Entities that no base pattern finds are added; lookalikes aren't."""
+    field, hit, real, said = pii.fit(), 0, 0, 0
+    for text, gold in pii.generate(400, seed=99):
+        fixed, added = pii.find(text, field)
+        left = {(s, e) for s, e, _ in gold if not any(s < b and a < e for a, b, _ in fixed)}
+        got = {(s, e) for s, e, _ in added}
+        hit, real, said = hit + len(left & got), real + len(left), said + len(got)
+        assert all(e <= s for (_, e), (s, _) in zip(sorted(got), sorted(got)[1:], strict=False))
+    assert hit / real > 0.85 and hit / said > 0.85
+
+
+def test_best_path_is_the_best_of_all():
+    r, field = np.random.default_rng(4), pii.fit()
+    for text, _ in pii.generate(60, seed=5):
+        spans = pii.candidates(text, 0, len(text))[:8]
+        f = pii.Field(field.weights + r.normal(0, 1, field.weights.shape))
+        score = {x: max(f.weights @ pii.features(text, *x)) for x in spans}
+        top = 0.0
+        for chosen in range(1 << len(spans)):
+            some = [x for i, x in enumerate(spans) if chosen >> i & 1]
+            if all(a[1] <= b[0] for a, b in zip(some, some[1:], strict=False)):
+                top = max(top, sum(score[x] for x in some))
+        assert abs(sum(score[s, e] for s, e, _ in f.best(text, spans)) - top) < 1e-9
