@@ -2,8 +2,9 @@
 
 Two collections of ``side`` keys are made from two min-hashes each; every pair of a key of the one and a key of the other
 is the key of a table, so 4 * side min-hashes feed side * side tables. Documents with equal sets form classes, and only a
-class's first document goes on. In a bucket, every document is compared with the first one; buckets whose documents are
-not connected after that are compared in full between components, so groups of copies cost one comparison a member.
+class's first document goes on. In a bucket, every document is compared with the first one, so groups of copies cost one
+comparison a member. In buckets whose documents are not all connected after that, those apart from the first one are
+compared with all others: in blocks of bounded size, which give links between components only, never all pairs.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from sitegrid.llm.common import materialize, mix, pieces, raw, shingles
 from sitegrid.llm.components import components
 
 
+#: Elements of sets in a block that is compared at once.
+BLOCK = 1 << 18
+
+
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20240229)
     return r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, n, dtype=np.uint64)
@@ -36,16 +41,62 @@ def table_keys(s: np.ndarray, side: int) -> np.ndarray:
     return mix(left[:, None] + mix(right[None, :] + number)).ravel()
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """docs(id, text) -> (id, s array<long>)"""
+def _sets(docs: DataFrame, k: int, short: bool = False) -> DataFrame:
+    """docs(id, text) -> (id, s array<long>), or the low 32 bits of each element, as array<int>."""
+    to = np.int32 if short else np.int64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1, 1 << 20):
             sets = shingles(*raw(b.column(1)), k)
             off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sets).view(np.int64).astype(to)))], names=["id", "s"])
+
+    return docs.select("id", "text").mapInArrow(run, f"id long, s array<{'int' if short else 'long'}>")
+
+
+def _cross(units: DataFrame, percent: int) -> DataFrame:
+    """units(id, key, i, j, side, comp, s) -> pairs(a, b): of every unit (key, i, j), rows of side 0 with similar ones of side 1.
 
-    return docs.mapInArrow(run, "id long, s array<long>")
+    Sets are shortened hashes, so no similar pair is missed, but pairs need to be confirmed. For each row of side 0 and
+    each component that it isn't in, one pair is given, if there is any.
+    """
+
+    def close(left: list, right: list) -> Iterator[tuple[int, int]]:
+        sizes = np.array([len(s) for _, _, s in right])
+        names, at = np.unique(np.concatenate([s for _, _, s in right]), return_inverse=True)
+        first, comps, ids = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.array([c for _, c, _ in right]), np.array([i for i, _, _ in right])
+        for i, comp, s in left:
+            place = np.minimum(np.searchsorted(names, s), len(names) - 1)
+            mine = np.zeros(len(names), np.int32)
+            mine[place[names[place] == s]] = 1
+            common = np.add.reduceat(mine[at], first)
+            on = np.flatnonzero((100 * common >= percent * (len(s) + sizes - common)) & (comps != comp))
+            for j in on[np.unique(comps[on], return_index=True)[1]]:
+                yield min(i, int(ids[j])), max(i, int(ids[j]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+
+        def done() -> pa.RecordBatch:
+            pairs = sorted(set(close(*sides))) if sides[0] and sides[1] else []
+            sides[0].clear()
+            sides[1].clear()
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            unit = list(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True))
+            off, flat = b.column(6).offsets.to_numpy(), b.column(6).values.to_numpy()
+            for n, (side, i, comp) in enumerate(zip(*(b.column(c).to_pylist() for c in (3, 4, 5)), strict=True)):
+                if unit[n] != now:
+                    if now is not None:
+                        yield done()
+                    now = unit[n]
+                sides[side].append((i, comp, flat[off[n] : off[n + 1]].copy()))
+        if now is not None:
+            yield done()
+
+    sorted_units = units.select("key", "i", "j", "side", "id", "comp", "s").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return sorted_units.mapInArrow(run, "a long, b long").distinct()
 
 
 def _signatures(docs: DataFrame, k: int, side: int) -> DataFrame:
@@ -97,14 +148,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, side: int =
     stars = materialize(members.where((F.col("id") != F.col("a")) & fits("n", "na")).select("a", F.col("id").alias("b")).distinct(), "stars")
     links = materialize(_confirm(stars, texts, k, percent), "links")
     comp = materialize(components(links), "components")
-    # buckets that still hold several components
-    left = members.where("c > 2").join(comp, "id", "left").select("key", "a", "id", "n", F.coalesce("component", "id").alias("comp"))
-    head = members.where("c > 2 and id = a").join(comp, "id", "left").select("key", F.coalesce("component", "id").alias("head_comp"))
-    stray = materialize(left.join(head, "key").where("comp <> head_comp").select("key", "id", "n", "comp"), "stray")
-    open_keys = materialize(stray.select("key").distinct(), "open")
-    everyone = materialize(left.join(open_keys, "key", "left_semi").select("key", F.col("id").alias("o_id"), F.col("n").alias("o_n"), F.col("comp").alias("o_comp"), "a"), "everyone")
-    cross = stray.join(everyone, "key").where((F.col("comp") != F.col("o_comp")) & (F.col("o_id") != F.col("a")) & fits("n", "o_n")).select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
-    cross = materialize(cross.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
+    # buckets that still hold several components: whoever isn't with the head is compared with all others, block by block
+    held = members.where("c > 2").join(comp, "id", "left").select("key", "a", "id", "n", F.coalesce("component", "id").alias("comp"))
+    of_head = held.where("id = a").select("key", F.col("comp").alias("head_comp"))
+    held = materialize(held.join(of_head, "key").select("key", "id", "n", "comp", (F.col("id") == F.col("a")).alias("head"), (F.col("comp") != F.col("head_comp")).alias("stray")), "held")
+    blocks = lambda n: F.ceil(F.sum(n) / BLOCK).cast("int")
+    opened = held.groupBy("key").agg(blocks(F.when(F.col("stray"), F.col("n"))).alias("rows"), blocks("n").alias("cols")).where("rows is not null")
+    placed = held.join(opened, "key").withColumn("place", F.xxhash64("id"))
+    one = placed.where("stray").select("key", F.expr("cast(pmod(place, rows) as int)").alias("i"), F.explode(F.expr("sequence(0, cols - 1)")).alias("j"), F.lit(0).alias("side"), "id", "comp")
+    two = placed.where("not head").select("key", F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), F.expr("cast(pmod(place, cols) as int)").alias("j"), F.lit(1).alias("side"), "id", "comp")
+    units = materialize(one.union(two), "units")
+    sets = materialize(_sets(texts.join(units.select("id").distinct(), "id", "left_semi"), k, True), "sets")
+    cross = materialize(_cross(units.join(sets, "id"), percent), "cross")
     more = materialize(_confirm(cross, texts, k, percent), "more")
     comp = materialize(components(links.union(more)), "components")
     grouped = sig.select("id", "n", "d1", "d2").join(first, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
