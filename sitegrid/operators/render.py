@@ -31,6 +31,11 @@ def unpack(df: DataFrame, kind: str, samples: list[str], n: int = 0) -> DataFram
     return df.where(F.col("sample").isin(samples)).select("row_id", "sample", value(kind, n).alias("x")).groupBy("row_id").pivot("sample", samples).agg(F.first("x"))
 
 
+def with_coordinates(wide: DataFrame, sites: DataFrame, style: int = 0) -> DataFrame:
+    """Unpacked rows with their coordinate as a first text column."""
+    return coordinate_text(sites, style).withColumnRenamed("text", "coordinate").join(wide, "row_id")
+
+
 def coordinate_text(sites: DataFrame, style: int = 0) -> DataFrame:
     """(row_id, text): begin and end, 0-based, of two bases (0) or one (1), or chrom_beg1."""
     c, b = F.col("chrom"), F.col("beg1")

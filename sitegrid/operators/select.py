@@ -31,16 +31,16 @@ def mask(df: DataFrame, kind: str, by: DataFrame, invert: bool = False, contextu
     Counts and bits are cleared where the mask is on; sets keep only what the mask has on. contextualize makes bits a
     set in the mask as universe.
     """
+    if kind not in ("mu", "su", "bits", "chars"):
+        raise ValueError(f"{kind} can't be masked")
     bit = ~F.col("mask_bit") if invert else F.col("mask_bit")
     d = df.join(by.select("row_id", F.col("bit").alias("mask_bit")), "row_id")
     if kind == "mu":
         return d.select("sample", "row_id", *(F.when(bit, 0).otherwise(F.col(c)).alias(c) for c in ("m", "u")))
     if kind == "su":
         return d.select("sample", "row_id", (F.col("in_set") & F.col("in_uni") & bit).alias("in_set"), (F.col("in_uni") & bit).alias("in_uni"))
-    if kind in ("bits", "chars"):
-        own = _as_bit(df, kind)
-        return d.select("sample", "row_id", (own & bit).alias("in_set"), bit.alias("in_uni")) if contextualize else d.select("sample", "row_id", (own & ~bit).alias("bit"))
-    raise ValueError(f"{kind} can't be masked")
+    own = _as_bit(df, kind)
+    return d.select("sample", "row_id", (own & bit).alias("in_set"), bit.alias("in_uni")) if contextualize else d.select("sample", "row_id", (own & ~bit).alias("bit"))
 
 
 def index(df: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -126,6 +126,40 @@ def info(df: DataFrame, kind: str) -> DataFrame:
     return df.groupBy("sample").agg(F.count("*").alias("n_rows"), F.lit(kind).alias("format"), keys.alias("n_keys"))
 
 
+def split_names(samples: DataFrame, prefix: str | None = None, named: bool = True) -> DataFrame:
+    """(sample, file): the file that each track of samples(sample, ord) goes to, by its name or by its 1-based place."""
+    head = F.lit("" if prefix is None else prefix if named else f"{prefix}_")
+    own = F.col("sample") if named else F.concat(F.lit("split_"), F.col("ord") + 1)
+    return samples.select("sample", F.concat(head, own, F.lit(".cx")).alias("file"))
+
+
+def append_index(samples: DataFrame, name: str) -> DataFrame:
+    """samples(sample, ord) with one more name at the end; a name that is there already is an error."""
+    if samples.where(F.col("sample") == name).limit(1).collect():
+        raise ValueError(f"sample {name} is there already")
+    return samples.union(samples.agg(F.lit(name).alias("sample"), F.coalesce(F.max("ord") + 1, F.lit(0)).alias("ord")))
+
+
+def require_axis(df: DataFrame, n_rows: int) -> None:
+    """An error unless every track has n_rows rows."""
+    bad = df.groupBy("sample").agg(F.count("*").alias("n")).where(F.col("n") != n_rows).limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0].sample} has {bad[0].n} rows, not {n_rows}")
+
+
+def chrom_codes(sites: DataFrame) -> DataFrame:
+    """(row_id, chrom_id, pos): coordinates with chromosomes numbered from 0 by first appearance."""
+    first = sites.groupBy("chrom").agg(F.min("row_id").alias("first"))  # one row a chromosome
+    codes = first.select("chrom", (F.row_number().over(Window.orderBy("first")) - 1).alias("chrom_id"))
+    return sites.join(codes, "chrom").select("row_id", "chrom_id", (F.col("beg1") + 1).alias("pos"))
+
+
+def max_unit(mu: DataFrame) -> DataFrame:
+    """(sample, unit): how many bytes, of 1, 2, 4 and 8, hold both counts of every row without halving any."""
+    most = F.max(F.greatest("m", "u"))
+    return mu.groupBy("sample").agg(F.when(most < 15, 1).when(most < 255, 2).when(most < 65_535, 4).otherwise(8).alias("unit"))
+
+
 def state_keys(states: DataFrame) -> DataFrame:
     """(state, first_row, n): keys by first appearance."""
     return states.groupBy("state").agg(F.min("row_id").alias("first_row"), F.count("*").alias("n"))

@@ -143,6 +143,14 @@ _add("interval_windows", lambda s, _: intervals.windows(s), "sites", sql="SELECT
 _add("unpack_packed", lambda d, _: render.unpack(d, "mu", ["S1", "S2"]), "mu", sql="SELECT row_id, max(CAST(m*4294967296+u AS VARCHAR)) FILTER (sample='S1') AS \"S1\", max(CAST(m*4294967296+u AS VARCHAR)) FILTER (sample='S2') AS \"S2\" FROM mu GROUP BY 1")
 _add("unpack_mu", lambda d, _: render.unpack(d, "mu", ["S1", "S2"], -1), "mu", sql="SELECT row_id, max(m||chr(9)||u) FILTER (sample='S1') AS \"S1\", max(m||chr(9)||u) FILTER (sample='S2') AS \"S2\" FROM mu GROUP BY 1")
 _add("unpack_su", lambda d, _: render.unpack(d, "su", ["S1", "S2"], 1), "su", sql="SELECT row_id, max(CAST(CAST(in_set AS INT)+2*CAST(in_uni AS INT) AS VARCHAR)) FILTER (sample='S1') AS \"S1\", max(CAST(CAST(in_set AS INT)+2*CAST(in_uni AS INT) AS VARCHAR)) FILTER (sample='S2') AS \"S2\" FROM su GROUP BY 1")
+_add("unpack_beta", lambda d, _: render.unpack(d, "mu", ["S1", "S2"], 2), "mu", sql=", t AS (SELECT row_id, sample, CASE WHEN m+u>=2 THEN printf('%.3f', round(CAST(m AS DOUBLE)/(m+u),3)) ELSE 'NA' END AS x FROM mu) SELECT row_id, max(x) FILTER (sample='S1') AS \"S1\", max(x) FILTER (sample='S2') AS \"S2\" FROM t GROUP BY 1")
+_add("unpack_bits", lambda d, _: render.unpack(d, "bits", ["big", "mod3"]), "bits", sql="SELECT row_id, max(CAST(CAST(bit AS INT) AS VARCHAR)) FILTER (sample='big') AS big, max(CAST(CAST(bit AS INT) AS VARCHAR)) FILTER (sample='mod3') AS mod3 FROM bits GROUP BY 1")
+_add("unpack_states", lambda d, _: render.unpack(d, "states", ["st"]), "states", sql="SELECT row_id, state AS st FROM states")
+_add("unpack_with_coord", lambda d, s, _: render.with_coordinates(render.unpack(d, "mu", ["S1"], -1), s, 1), "mu", "sites", sql="SELECT row_id, chrom||chr(9)||(beg1-1)||chr(9)||beg1 AS coordinate, m||chr(9)||u AS \"S1\" FROM mu JOIN sites USING (row_id) WHERE sample='S1'")
+_add("split_map", lambda d, _: select.split_names(select.index(d), "out_").union(select.split_names(select.index(d), named=False)), "mu", sql=", s AS (SELECT sample, row_number() OVER (ORDER BY sample) AS n FROM (SELECT DISTINCT sample FROM mu)) SELECT sample, 'out_'||sample||'.cx' AS file FROM s UNION ALL SELECT sample, 'split_'||n||'.cx' FROM s")
+_add("index_append", lambda d, _: select.append_index(select.index(d), "new"), "mu", sql=", s AS (SELECT sample, row_number() OVER (ORDER BY sample)-1 AS ord FROM (SELECT DISTINCT sample FROM mu)) SELECT sample, ord FROM s UNION ALL SELECT 'new', max(ord)+1 FROM s")
+_add("chrom_codes", lambda s, _: select.chrom_codes(s), "sites", sql=", c AS (SELECT chrom, CAST(row_number() OVER (ORDER BY min(row_id))-1 AS INT) AS chrom_id FROM sites GROUP BY 1) SELECT row_id, chrom_id, beg1+1 AS pos FROM sites JOIN c USING (chrom)")
+_add("max_unit", lambda d, _: select.max_unit(d), "mu", sql="SELECT sample, CASE WHEN max(greatest(m,u))<15 THEN 1 WHEN max(greatest(m,u))<255 THEN 2 WHEN max(greatest(m,u))<65535 THEN 4 ELSE 8 END AS unit FROM mu GROUP BY 1")
 _add("unpack_coord", lambda s, _: render.coordinate_text(s, 2).unionAll(render.coordinate_text(s, 0)), "sites", sql="SELECT row_id, chrom||'_'||beg1 AS text FROM sites UNION ALL SELECT row_id, chrom||chr(9)||(beg1-1)||chr(9)||(beg1+1) FROM sites")
 _GL = "CASE WHEN b>0.67 THEN 'H' WHEN b>0.33 THEN 'M' WHEN b IS NOT NULL THEN 'L' ELSE '.' END"
 _add("hprint_region", lambda d, s, _: render.region_view(d, "mu", select.region(s, "chr2"), 20), "mu", "sites", sql=", r AS (SELECT * FROM sites WHERE chrom='chr2'), z AS (SELECT min(row_id) AS f, CASE WHEN count(*)>20 THEN CAST(ceil(count(*)/20.0) AS BIGINT) ELSE 1 END AS w FROM r), g AS (SELECT sample, (row_id-f)//w AS w, avg(CAST(m AS DOUBLE)/nullif(m+u,0)) AS b FROM mu JOIN r USING (row_id) CROSS JOIN z GROUP BY 1,2) SELECT sample, string_agg(" + _GL + ", '' ORDER BY w) AS line FROM g GROUP BY 1")

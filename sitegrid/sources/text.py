@@ -47,6 +47,11 @@ def read(spark: SparkSession, path: str, kind: str, sample: str | None = None) -
     return d.select(*([F.lit(sample).alias("sample")] if sample is not None else []), "row_id", *(c.alias(n) for n, c in columns(kind).items()))
 
 
+def line_blocks(lines: DataFrame, size: int = 1_000_000) -> DataFrame:
+    """Numbered lines (value, row_id) with the block that each falls in."""
+    return lines.withColumn("block", F.floor(F.col("row_id") / size))
+
+
 def write(df: DataFrame, path: str) -> None:
     """Tracks as Parquet by sample, so that a reader of some samples opens only theirs."""
     df.write.partitionBy("sample").parquet(path)
