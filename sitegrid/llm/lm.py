@@ -49,20 +49,22 @@ class LogBilinear:
 
     def learn(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, noise: np.ndarray, draws: np.ndarray, rate: float) -> None:
         """One Adagrad step of noise-contrastive estimation: each of the words w against all draws from noise."""
-        h, k, n = self.context(u, v), len(draws), len(w)
-        log_noise = np.log(noise)
-        zt = (h * self.q[w]).sum(1) + self.b[w] - np.log(k) - log_noise[w]
-        zn = h @ self.q[draws].T + self.b[draws] - np.log(k) - log_noise[draws]
+        h, n = self.context(u, v), len(w)
+        log_noise = np.log(len(draws) * noise.astype(np.float32))
+        drawn, times = np.unique(draws, return_counts=True)
+        q, of_w = self.q[drawn], self.q[w]
+        zt = (h * of_w).sum(1) + self.b[w] - log_noise[w]
+        zn = h @ q.T + (self.b[drawn] - log_noise[drawn])
         gt = 1 / (1 + np.exp(np.clip(zt, -30, 30)))
-        gn = -1 / (1 + np.exp(np.clip(-zn, -30, 30)))
-        gh = gt[:, None] * self.q[w] + gn @ self.q[draws]
+        gn = -times.astype(np.float32) / (1 + np.exp(-np.clip(zn, -30, 30)))
+        gh = gt[:, None] * of_w + gn @ q
         grad = LogBilinear(self.classes, self.dim, np.zeros_like(self.flat))
         order = np.argsort(w, kind="stable")
         heads = np.flatnonzero(np.diff(w[order], prepend=-1))
         grad.q[w[order][heads]] += np.add.reduceat((gt[:, None] * h)[order], heads)
         grad.b[w[order][heads]] += np.add.reduceat(gt[order], heads)
-        np.add.at(grad.q, draws, gn.T @ h)
-        np.add.at(grad.b, draws, gn.sum(0))
+        grad.q[drawn] += gn.T @ h
+        grad.b[drawn] += gn.sum(0)
         for x, c in ((u, 0), (v, 1)):
             g = gh * self.c[c]
             order = np.argsort(x, kind="stable")
@@ -103,7 +105,16 @@ def _contexts(tokens: list[list[int]], begin: int) -> tuple[np.ndarray, np.ndarr
     return u, v, w, start
 
 
-def score(docs: DataFrame, folds: int = 5, held: int = 1, size: int = 510, dim: int = 24, table: int = 131_072, share: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def train_on(model: LogBilinear, u: np.ndarray, v: np.ndarray, w: np.ndarray, noise: np.ndarray, rng: np.random.Generator, step: int = 512, draws: int = 128) -> None:
+    """One pass over every position in random order, in steps of so many positions and draws."""
+    chance = noise.astype(float) / noise.astype(float).sum()
+    order = rng.permutation(len(w))
+    for at in range(0, len(order), step):
+        j = order[at : at + step]
+        model.learn(u[j], v[j], w[j], noise, rng.choice(len(noise), draws, p=chance), 0.05)
+
+
+def score(docs: DataFrame, folds: int = 5, held: int = 1, size: int = 510, dim: int = 24, table: int = 131_072, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for every whole text.
 
     Learns from texts whose crc32 of the id as text, modulo folds, is not held. Tokens: words that blanks separate, A-Z
@@ -111,7 +122,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, size: int = 510, dim:
     probability. Null and empty texts are an end only. Without any training text, N = V = 0. Repeated rows are learned
     from and scored each; rows without an id are learned from. Ids are longs; other columns are ignored; an empty table
     gives an empty one. Each task
-    trains on one in ``share`` of its training positions. table: words whose counts are broadcast, at most 64 bytes each.
+    trains once on each of its training positions. table: words whose counts are broadcast, at most 64 bytes each.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -158,12 +169,8 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, size: int = 510, dim:
             if not texts:
                 continue
             u, v, w, _ = _contexts(texts, classes)
-            some = np.flatnonzero(rng.random(len(w)) < 1 / share)
-            rng.shuffle(some)
-            for at in range(0, len(some), 512):
-                j = some[at : at + 512]
-                model.learn(u[j], v[j], w[j], noise, rng.choice(classes, 128, p=noise.astype(float) / noise.astype(float).sum()), 0.05)
-            seen += len(some)
+            train_on(model, u, v, w, noise, rng)
+            seen += len(w)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([rng.integers(16)], pa.int32()), pa.array([seen], pa.int64()), pa.array([model.flat.tobytes()], pa.binary())], names=["part", "n", "flat"])
 

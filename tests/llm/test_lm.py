@@ -67,3 +67,25 @@ def test_noise_contrastive_steps_find_the_distribution():
         m.learn(np.full(128, 4), np.full(128, 4), w, np.full(4, 0.25, np.float32), r.integers(0, 4, 32), 0.05)
     p = 10 ** m.log10_prob(np.full(4, 4), np.full(4, 4), np.arange(4))
     assert np.abs(p - want).max() < 0.03
+
+
+def test_every_position_is_trained_on():
+    class Recorder:
+        seen = []
+
+        def learn(self, u, v, w, *_):
+            self.seen += zip(u.tolist(), v.tolist(), w.tolist(), strict=True)
+
+    u, v, w = np.arange(1300), np.arange(1300) + 1, np.arange(1300) % 40
+    lm.train_on(Recorder(), u, v, w, np.full(40, 1 / 40, np.float32), np.random.default_rng(5))
+    assert sorted(Recorder.seen) == sorted(zip(u.tolist(), v.tolist(), w.tolist(), strict=True))
+
+
+def test_a_single_text_moves_the_model(spark):
+    """A sample of one position in four takes neither of these two."""
+    got = lm.score(spark.createDataFrame([(0, "word")], "doc_id long, text string")).first()
+    unigram = np.array([1.5, 0.5, 1.5, 0.5])
+    start = lm.LogBilinear(4, 24, unigram=unigram / unigram.sum())
+    untrained = start.log10_prob(np.array([4, 4]), np.array([4, 2]), np.array([2, 0])).sum()
+    assert not got.held_out
+    assert abs(got.score - untrained) > 1e-4
