@@ -1,6 +1,6 @@
 """Personal data: base patterns, and a semi-Markov conditional random field for what they miss.
 
-Base spans follow fixed patterns and always stay. Between them, candidate segments around digits and at-signs are scored
+Base spans follow fixed patterns and always stay. Between them, candidate segments around digits, at-signs, (at) and [at] are scored
 as whole spans: features see the full segment and its surroundings, such as digit counts, groups, checksums, key words
 and clean edges. A path of the model divides a stretch into entities and plain characters; an entity is no longer than
 WIDEST characters, plain text scores 0. Dynamic programming over segment ends finds the best path, choosing boundaries
@@ -28,7 +28,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_HOT = re.compile(r"[0-9@]")
+_HOT = re.compile(r"[0-9@(\[](?:(?<=[0-9@])|(?<=\()at\)|(?<=\[)at\])")
 _PLAIN = frozenset(" \t\r\n\v\f\"'<>,;|")
 
 
@@ -73,6 +73,8 @@ def base(text: str) -> list[tuple[int, int, int]]:
 _CUES = [re.compile(p, re.I) for p in (r"(?:token|password|passwd|secret|api.?key|pwd)\W{1,4}$", r"(?:tel|phone|call|fax|mobile)\W{0,3}$", r"(?:card|visa|credit|iban)\W{0,3}$", r"(?:mail|contact|write to)\W{0,3}$", r"(?:version|v|no|page|section|chapter|figure)\W{0,2}$")]
 _MONTHS = re.compile(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)?[0-9]{2}")
 _MASKED_MAIL = re.compile(r"[\w.%+-]+ ?(?:@|\(at\)|\[at\]) ?[\w-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[\w-]+)+")
+_AT = re.compile(r" ?(?:@|\(at\)|\[at\]) ?[\w-]+")
+_DOT = re.compile(r" ?(?:\.|\(dot\)|\[dot\]) ?[\w-]+")
 _KEY = re.compile(r"[A-Z]{2,6}[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
@@ -99,9 +101,20 @@ def features(text: str, s: int, e: int) -> np.ndarray:
 WIDTH = len(_inside("1")) + 3 + len(_CUES)
 
 
+def _mails(text: str, mark: int, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Segments around an at-sign or its like at mark that are addresses, one for each end of the domain."""
+    b = mark - (mark > low and text[mark - 1] == " ")
+    a = b
+    while a > max(low, b - WIDEST) and (text[a - 1].isalnum() or text[a - 1] in "_.%+-"):
+        a -= 1
+    x = _AT.match(text, b, high) if a < b else None
+    while x and (x := _DOT.match(text, x.end(), high)) and x.end() - a <= WIDEST:
+        yield a, x.end()
+
+
 def candidates(text: str, low: int, high: int) -> list[tuple[int, int]]:
-    """Segments of text[low:high] that could be entities: chunks with a digit or an at-sign, and runs of up to five."""
-    chunks, at = [], low
+    """Segments of text[low:high] that could be entities: chunks with a digit, an at-sign or its like, runs of up to five, and addresses."""
+    chunks, out, at = [], set(), low
     while (m := _HOT.search(text, at, high)) is not None:
         s, e = m.start(), m.end()
         while s > max(low, m.start() - WIDEST) and text[s - 1] not in _PLAIN:
@@ -112,12 +125,11 @@ def candidates(text: str, low: int, high: int) -> list[tuple[int, int]]:
         while at < high and text[at] not in _PLAIN:  # an overlong chunk holds no entity
             at += 1
         if at == e and s > m.start() - WIDEST:
-            if "@" in text[s:e] and (x := _MASKED_MAIL.match(text, s, high)):
-                e = max(e, x.end())
+            for mark in re.finditer(r"@|\(at\)|\[at\]", text[s:e]):
+                out.update(_mails(text, s + mark.start(), low, high))
             if "=" in text[s:e]:
                 s = min(e - 1, text.index("=", s, e) + 1)
             chunks.append((s, e))
-    out = set()
     for i, (s, first) in enumerate(chunks):
         e = first
         for j in range(i, min(i + 5, len(chunks))):

@@ -75,3 +75,14 @@ def test_best_path_is_the_best_of_all():
             if all(a[1] <= b[0] for a, b in zip(some, some[1:], strict=False)):
                 top = max(top, sum(score[x] for x in some))
         assert abs(sum(score[s, e] for s, e, _ in f.best(text, spans)) - top) < 1e-9
+
+
+def test_addresses_without_an_at_sign():
+    field = pii.fit()
+    for mail in ("jane(at) example (dot) com", "jane[at] example.com", "jane.doe [at] example.com", "jane(at)example.com"):
+        text = f"write to {mail} today"
+        assert pii.find(text, field)[1] == [(9, 9 + len(mail), 0)], mail
+    assert pii.find("at home (at last) or [attic]", field) == ([], [])
+    held = [(x, g) for x, gold in pii.generate(400, seed=99) for g in gold if g[2] == 0 and ("(at)" in x[g[0] : g[1]] or "[at]" in x[g[0] : g[1]])]
+    assert len(held) > 10
+    assert sum(g in pii.find(x, field)[1] for x, g in held) > 0.85 * len(held)
