@@ -112,6 +112,43 @@ def _mails(text: str, mark: int, low: int, high: int) -> Iterator[tuple[int, int
         yield a, x.end()
 
 
+_PIECE = re.compile(r"[A-Za-z0-9_]+|[^\x00-\x7f]+|[^A-Za-z0-9_]")
+_CLASS = re.compile(r"[0-9]+|[A-Za-z_]+")
+
+
+def _inner(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Segments within the run text[low:high] between changes of character class, with a digit or an at-sign.
+
+    Classes: digits, ASCII letters, other scripts; every other ASCII character is a piece. A word of 14 characters
+    or more, as keys are, or of more than two classes is divided only at its runs of ten digits and more.
+    """
+    starts, ends = [], []
+    for m in _PIECE.finditer(text, low, high):
+        cut = [m.start(), m.end()]
+        if m.group()[0].isascii() and len(parts := [x.span() for x in _CLASS.finditer(text, *m.span())]) > 1:
+            some = parts if len(parts) == 2 and m.end() - m.start() < 14 else [x for x in parts if x[1] - x[0] >= 10 and text[x[0]].isdigit()]
+            cut = sorted({*cut, *(p for x in some for p in x)})
+        for a, b in zip(cut, cut[1:], strict=False):
+            if text[a].isalnum() or text[a] in "+(":
+                starts.append(a)
+            if text[b - 1].isalnum():
+                ends.append(b)
+    hot, first = [m.start() for m in _HOT.finditer(text, low, high)], 0
+    near = 0
+    for a in starts:
+        while near < len(hot) and hot[near] < a:
+            near += 1
+        if near == len(hot):
+            break
+        while first < len(ends) and ends[first] < a + 6:
+            first += 1
+        for b in ends[first:]:
+            if b - a > WIDEST:
+                break
+            if hot[near] < b:
+                yield a, b
+
+
 def candidates(text: str, low: int, high: int) -> list[tuple[int, int]]:
     """Segments of text[low:high] that could be entities: chunks with a digit, an at-sign or its like, runs of up to five, and addresses."""
     chunks, out, at = [], set(), low
@@ -122,8 +159,16 @@ def candidates(text: str, low: int, high: int) -> list[tuple[int, int]]:
         while e < min(high, m.start() + WIDEST) and text[e] not in _PLAIN:
             e += 1
         at = e
-        while at < high and text[at] not in _PLAIN:  # an overlong chunk holds no entity
+        while at < high and text[at] not in _PLAIN:
             at += 1
+        if at - s > WIDEST or s <= m.start() - WIDEST:
+            run = s
+            while run > low and text[run - 1] not in _PLAIN:
+                run -= 1
+            for part in re.finditer(r"[^=&?#]+", text[run:at]):  # no entity goes on beyond these
+                out.update(_inner(text, run + part.start(), run + part.end()))
+            for mark in re.finditer(r"@|\(at\)|\[at\]", text[run:at]):
+                out.update(_mails(text, run + mark.start(), low, high))
         if at == e and s > m.start() - WIDEST:
             for mark in re.finditer(r"@|\(at\)|\[at\]", text[s:e]):
                 out.update(_mails(text, s + mark.start(), low, high))
@@ -295,7 +340,8 @@ def pii(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", tex
     """(id_col, base, added): arrays of (start, end, kind) spans in code points of every whole text.
 
     Null and empty texts have none. Repeated rows are searched each; other columns are ignored; an empty table gives an
-    empty one. Entities over WIDEST characters are found by the base patterns only.
+    empty one. Entities over WIDEST characters are found by the base patterns only. Runs over WIDEST are divided where the
+    class of characters changes; shorter ones keep their own edges.
     """
     shared = docs.sparkSession.sparkContext.broadcast((field or fit()).weights)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
