@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and tab to carriage return.
 BLANKS = np.zeros(256, bool)
@@ -19,19 +20,87 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Folders that hold results which are still to be read; clean() deletes them.
+LEFT: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one that the cluster names; a local one only where none is named, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir() + "/checkpoints"
+    """A new folder in the shared one that the cluster names. Only a local session may do without: nothing else reads its disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.gettempdir() + "/checkpoints"
     return f"{base.rstrip('/')}/sitegrid-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = f"{scratch(df.sparkSession)}/{name}"
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors. Stays until clean()."""
+    folder = scratch(df.sparkSession)
+    LEFT.append(folder)
+    return _written(df, f"{folder}/{name}")
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the results that materialize() wrote; DataFrames over them can't be read after that."""
+    while LEFT:
+        delete(spark, LEFT.pop())
+
+
+class Tables:
+    """An operator's intermediate tables, in one shared folder that is deleted at the end of the block."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.count = spark, scratch(spark), 0
+
+    def __call__(self, df: DataFrame, name: str = "table") -> DataFrame:
+        """df written and read again, for use within the block."""
+        self.count += 1
+        return _written(df, f"{self.folder}/{self.count}-{name}")
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        delete(self.spark, self.folder)
+
+
+#: Bits of a Bloom filter, at most: 8 MB.
+FILTER_BITS = 1 << 26
+
+
+def bloom(hashes: DataFrame, n: int) -> Callable[[Column], Column]:
+    """A test, within an expression, whether a hash may be one of the n in hashes(h: long): never false for one that is.
+
+    The filter has 16 bits a hash and two of them are set, but its size is bounded; with many more hashes it passes nearly all.
+    """
+    bits = min(FILTER_BITS, max(1 << 15, 1 << (16 * n - 1).bit_length()))
+    spots = lambda h: [F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 29), F.lit(bits))]
+    # Spark's bitmaps hold 32768 numbers each, from 1 on
+    at = hashes.select(F.explode(F.array(*(x + 1 for x in spots(F.col("h"))))).alias("at"))
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    image = bytearray(bits // 8)
+    for part, some in parts.collect():
+        image[(part - 1) * 4096 : part * 4096] = some
+    held = F.lit(bytes(image))
+
+    def on(at: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(held, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+        return F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+
+    return lambda h: on(spots(h)[0]) & on(spots(h)[1])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
