@@ -79,8 +79,8 @@ class Tables:
 FILTER_BITS = 1 << 26
 
 
-def bloom(hashes: DataFrame, n: int) -> Callable[[Column], Column]:
-    """A test, within an expression, whether a hash may be one of the n in hashes(h: long): never false for one that is.
+def bloom(hashes: DataFrame, n: int) -> tuple[Column, Callable[[Column, Column], Column]]:
+    """A filter's bits, and a test of them whether a hash may be one of the n in hashes(h: long): never false for one that is.
 
     The filter has 16 bits a hash and two of them are set, but its size is bounded; with many more hashes it passes nearly all.
     """
@@ -92,13 +92,14 @@ def bloom(hashes: DataFrame, n: int) -> Callable[[Column], Column]:
     image = bytearray(bits // 8)
     for part, some in parts.collect():
         image[(part - 1) * 4096 : part * 4096] = some
-    held = F.lit(bytes(image))
+    # as a one-row subquery, so that plans don't spell it out
+    held = hashes.sparkSession.createDataFrame([(image,)], "bits binary").scalar()
 
-    def on(at: Column) -> Column:
+    def on(held: Column, at: Column) -> Column:
         byte = F.conv(F.hex(F.substring(held, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
         return F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
 
-    return lambda h: on(spots(h)[0]) & on(spots(h)[1])
+    return held, lambda held, h: on(held, spots(h)[0]) & on(held, spots(h)[1])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

@@ -80,11 +80,12 @@ def line_dedup(docs: DataFrame, min_sites: int = 12, lg_k: int = 12, margin: flo
         some = [r.h for r in common.collect()]
         out = _cut(d, keep, (lambda h: h.isin(some)) if some else None)
     else:
-        may = bloom(common, n)
-        d = d.withColumn("hit", F.coalesce(F.exists(F.split("text", "\n", -1), lambda x: (_trim(x) != "") & may(_hash(x))), F.lit(False)))
+        bits, test = bloom(common, n)
+        may = lambda h: test(F.col("bits"), h)
+        d = d.withColumn("bits", bits).withColumn("hit", F.coalesce(F.exists(F.split("text", "\n", -1), lambda x: (_trim(x) != "") & may(_hash(x))), F.lit(False)))
         hit = d.where("hit").withColumn("key", F.md5("text"))
-        line = hit.select("key", F.explode(F.split("text", "\n", -1)).alias("line")).select("key", _hash(F.col("line")).alias("h"))
-        held = materialize(line.where(may(F.col("h"))).join(common, "h", "left_semi").groupBy("key").agg(F.collect_set("h").alias("held")), "held")
+        line = hit.select("key", "bits", F.explode(F.split("text", "\n", -1)).alias("line")).select("key", "bits", _hash(F.col("line")).alias("h"))
+        held = materialize(line.where(may(F.col("h"))).select("key", "h").join(common, "h", "left_semi").groupBy("key").agg(F.collect_set("h").alias("held")), "held")
         both = hit.join(held, "key", "left").withColumn("held", F.coalesce("held", F.array().cast("array<long>")))
         out = _cut(both, keep, lambda h: F.array_contains("held", h)).unionByName(_cut(d.where("not hit"), keep, None))
     return out.withColumnRenamed("id", id_col)
