@@ -1,7 +1,8 @@
 """From raw documents to token ids: quality, boilerplate lines, near-duplicates, mixture, encoding.
 
-Every stage takes any rows with the columns of documents. Repeated rows, null texts, rows without an id and an empty table
-pass through each; other columns than these are dropped.
+Every stage takes any rows with the columns of documents; other columns than these are dropped. Null texts, rows without an id
+and an empty table pass through each. Rows that share an id are treated each by its own text; repeated rows with text are
+copies, and one of them stays.
 """
 
 from __future__ import annotations
@@ -31,9 +32,8 @@ def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    lost = materialize(minhash.near_duplicates(docs).where("not kept").select("doc_id"), "lost")
-    return docs.join(lost, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicates, the one with the smallest id, by texts and never by ids."""
+    return minhash.first_of_each(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
