@@ -4,9 +4,13 @@ The merges are compiled one after another. Each merge (u, v) -> w is a gadget on
 path u v gets an arc w, and the state that u leads to is split so that v can't follow any more. A state is thus known by
 the token that leads to it, and whether it has an arc t depends on the gadgets only: along the right edge of the one
 token's merge tree and the left edge of the other's, no gadget may have been applied while both of its parts still
-stood there. The gadget table and the times of birth hold all of that in a few megabytes; the rows of the transition
-table are filled when first used. Exactly one path spells any byte string, and it is the string's BPE encoding; so
-encoding walks the arcs forward over a word, and decoding emits the labels of the arcs.
+stood there. Exactly one path spells any byte string, and it is the string's BPE encoding.
+
+Arcs spell several bytes, so reading bytes is made deterministic by the subset construction: a state of the byte automaton
+holds the arcs that are under way, each with the token before it, and the one token that ends here on an accepted path. A
+table of transitions, filled when first used and bounded in size, takes one step a byte and never back; the arcs of the
+path are then read off from the last one, each of which names the place where the one before it ended. Decoding emits the
+labels of the arcs.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import gc
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +42,8 @@ PLAIN = re.compile(rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBERS}]+| ?[^{S
 UNSURE = None
 NEVER = 1 << 60
 CACHE = 200_000
+#: Transitions that are kept, at most, before a word.
+TABLE = 150_000
 
 
 def _unsure() -> re.Pattern:
@@ -91,35 +98,44 @@ class Automaton:
     """Compiled merges. encode(bytes) gives token ids, labels[id] the bytes of an arc."""
 
     def __init__(self, vocab: dict[str, int], merges: list, special: dict[str, int]) -> None:
-        of = byte_chars()
         self.special = special
-        size = max([*vocab.values(), *special.values()], default=-1) + 1
-        self.labels = [b""] * size
-        for t, i in vocab.items():
-            self.labels[i] = bytes(of[c] for c in t) if all(c in of for c in t) else t.encode()
-        for t, i in special.items():
-            self.labels[i] = t.encode()
+        self.labels = _labels(vocab, special)
+        size = len(self.labels)
         self.gadgets: dict[int, int] = {}
         self.size = size
-        self.birth, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
+        self.birth, self.left, self.right = (array("i", [-1]) * size for _ in range(3))
         for rank, pair in enumerate(merges):
             u, v = pair.split(" ") if isinstance(pair, str) else pair
             a, b, w = vocab[u], vocab[v], vocab[u + v]
             self.gadgets.setdefault(a * size + b, rank)
             if self.birth[w] < 0:
                 self.birth[w], self.left[w], self.right[w] = rank, a, b
-        self.arcs: dict[bytes, int] = {}
-        for t, i in vocab.items():
-            label = self.labels[i]
-            for j in range(1, len(label)):
-                self.arcs.setdefault(label[:j], -1)
-            if len(label) == 1 or self.birth[i] >= 0:
-                self.arcs[label] = i
-        self.rows: dict[int, bool] = {}
-        self.prefix: dict[int, int] = {}
+        # the labels of all arcs, as a tree of bytes
+        self.child: dict[int, int] = {}
+        self.token, self.more = array("i", [-1]), bytearray(1)
+        for i in vocab.values():
+            label, node = self.labels[i], 0
+            if len(label) > 1 and self.birth[i] < 0:
+                continue
+            for c in label:
+                self.more[node] = 1
+                if (to := self.child.get(node << 8 | c)) is None:
+                    to = self.child[node << 8 | c] = len(self.token)
+                    self.token.append(-1)
+                    self.more.append(0)
+                node = to
+            self.token[node] = i
+        self._reset()
         self.ids = Recent(lambda word: np.array(self.encode(word.encode()), np.int32).tobytes())
 
-    def _edge(self, t: int, side: list[int]) -> list[tuple[int, int]]:
+    def _reset(self) -> None:
+        """The byte automaton with its first state only."""
+        self.steps: dict[int, int] = {}
+        self.inside: list[tuple] = [(0, -1)]
+        self.ends = array("i", [-1])
+        self.number = {(0, -1): 0}
+
+    def _edge(self, t: int, side: array) -> list[tuple[int, int]]:
         """The tokens along one edge of t's merge tree, each with the time until which it stood there."""
         out, until = [], NEVER
         while t >= 0:
@@ -129,60 +145,50 @@ class Automaton:
 
     def follows(self, x: int, t: int) -> bool:
         """Whether the state that x leads to has an arc t."""
-        key = x * self.size + t
-        if (known := self.rows.get(key)) is None:
-            known, heads = True, self._edge(t, self.left)
-            for u, end in self._edge(x, self.right):
-                for v, stop in heads:
-                    if (at := self.gadgets.get(u * self.size + v)) is not None and at < end and (at < stop or at == stop and u == v):
-                        known = False
-            if len(self.rows) > 1_000_000:
-                self.rows.clear()
-            self.rows[key] = known
-        return known
-
-    def shorter(self, t: int) -> int:
-        """The longest token that is a proper prefix of t, or -1."""
-        if (out := self.prefix.get(t)) is None:
-            label, out = self.labels[t], -1
-            for j in range(len(label) - 1, 0, -1):
-                if (out := self.arcs.get(label[:j], -1)) >= 0:
-                    break
-            self.prefix[t] = out
-        return out
+        heads, get, size = self._edge(t, self.left), self.gadgets.get, self.size
+        for u, end in self._edge(x, self.right):
+            for v, stop in heads:
+                if (at := get(u * size + v)) is not None and at < end and (at < stop or at == stop and u == v):
+                    return False
+        return True
+
+    def step(self, state: int, byte: int) -> int:
+        """The state after one more byte, a new one if need be, now in the table."""
+        under_way, last, inside = [], -1, self.inside[state]
+        child, token, more = self.child.get, self.token, self.more
+        pairs = iter(inside)
+        for node, before in zip(pairs, pairs, strict=True):
+            if (to := child(node << 8 | byte)) is not None:
+                if last < 0 and (t := token[to]) >= 0 and (before < 0 or self.follows(before, t)):
+                    last = t
+                if more[to]:
+                    under_way += to, before
+        if last < 0:
+            raise ValueError("the vocabulary lacks a byte")
+        key = (*under_way, 0, last)
+        if (to := self.number.get(key)) is None:
+            to = self.number[key] = len(self.inside)
+            self.inside.append(key)
+            self.ends.append(last)
+        self.steps[state << 8 | byte] = to
+        return to
 
     def encode(self, word: bytes) -> list[int]:
-        """The one accepted path that spells word: longest arcs first, and back where no arc leads on."""
-        n, arcs, get, rows, size, labels = len(word), self.arcs, self.arcs.get, self.rows, self.size, self.labels
-        out, at, last, t, dead = [], 0, -1, -2, set()
-        while at < n:
-            if t == -2:
-                t, j = -1, at + 1
-                while j <= n and (x := get(word[at:j])) is not None:
-                    if x >= 0:
-                        t = x
-                    j += 1
-            while t >= 0:
-                if at + len(labels[t]) not in dead:
-                    if last < 0:
-                        break
-                    ok = rows.get(last * size + t)
-                    if ok or ok is None and self.follows(last, t):
-                        break
-                t = self.shorter(t)
-            if t >= 0:
-                out.append(t)
-                at += len(labels[t])
-                last, t = t, -2
-            else:
-                if not out:
-                    raise ValueError("the vocabulary lacks a byte")
-                dead.add(at)
-                t = out.pop()
-                at -= len(labels[t])
-                last = out[-1] if out else -1
-                t = self.shorter(t)
-        return out
+        """The one accepted path that spells word: a transition a byte, then the path's arcs from the last one."""
+        if len(self.steps) > TABLE:
+            self._reset()
+        get, step, state, path = self.steps.get, self.step, 0, []
+        for c in word:
+            if (to := get(state << 8 | c)) is None:
+                to = step(state, c)
+            path.append(to)
+            state = to
+        out, at, labels, ends = [], len(word), self.labels, self.ends
+        while at:
+            t = ends[path[at - 1]]
+            out.append(t)
+            at -= len(labels[t])
+        return out[::-1]
 
     def encode_text(self, text: str) -> np.ndarray:
         parts = [text]
@@ -197,16 +203,43 @@ class Automaton:
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
+        return spelled(self.labels, ids)
 
 
-@lru_cache(2)
-def load(path: str) -> Automaton:
+def spelled(labels: list[bytes], ids) -> str:
+    """The text of the arcs' labels."""
+    return b"".join(map(labels.__getitem__, ids)).decode("utf-8", "replace")
+
+
+def _labels(vocab: dict[str, int], special: dict[str, int]) -> list[bytes]:
+    of = byte_chars()
+    out = [b""] * (max([*vocab.values(), *special.values()], default=-1) + 1)
+    for t, i in vocab.items():
+        out[i] = bytes(of[c] for c in t) if all(c in of for c in t) else t.encode()
+    for t, i in special.items():
+        out[i] = t.encode()
+    return out
+
+
+def _parts(path: str) -> tuple[dict, list, dict]:
     with open(path, encoding="utf-8") as f:
         j = json.load(f)
+    return j["model"]["vocab"], j["model"]["merges"], {t["content"]: t["id"] for t in j["added_tokens"]}
+
+
+@lru_cache(1)
+def load(path: str) -> Automaton:
+    parts = _parts(path)
     gc.collect()
     gc.freeze()
-    return Automaton(j["model"]["vocab"], j["model"]["merges"], {t["content"]: t["id"] for t in j["added_tokens"]})
+    return Automaton(*parts)
+
+
+@lru_cache(2)
+def load_labels(path: str) -> list[bytes]:
+    """All that decoding needs."""
+    vocab, _, special = _parts(path)
+    return _labels(vocab, special)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,6 +256,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             rows = [a.encode_text(t or "") for t in b.column(1).to_pylist()]
             off = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(rows)))], names=[id_col, "ids"])
+        load.cache_clear()  # the worker lives on for other tasks, which need the memory more than the quarter of a second
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
@@ -232,7 +266,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     """(id_col, ids, text): the text that the ids spell; a null list is taken as empty. Other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = load(path)
+        labels = load_labels(path)
         for batch in batches:
             at = 0
             size = [0 if n is None else n for n in batch.column(1).value_lengths().to_pylist()]
@@ -243,7 +277,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
                     to += 1
                 b = batch.slice(at, to - at)
                 at = to
-                texts = [a.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else ()) for x in b.column(1)]
+                texts = [spelled(labels, x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else ()) for x in b.column(1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=[id_col, "ids", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()

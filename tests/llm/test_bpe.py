@@ -63,3 +63,18 @@ def test_decoding_broken_bytes(library):
     a = bpe.load(PATH)
     for ids in ([168], [168, 250], [50256, 127], [*range(256)]):
         assert a.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_one_transition_a_byte(library):
+    """The byte automaton is deterministic: it reads each byte once, filled or not, and what is kept doesn't change a path."""
+    a = bpe.load(PATH)
+    for word in ("unbelievably", "xqzkjv" * 40, "aaaaaaaaaaaaab", "çéñ日本"):
+        for _ in range(2):
+            taken, state = 0, 0
+            for c in word.encode():
+                state = a.steps.get(state << 8 | c) or a.step(state, c)
+                taken += 1
+            assert taken == len(word.encode()) and a.ends[state] == a.encode(word.encode())[-1]
+        got = a.encode(word.encode())
+        a._reset()
+        assert a.encode(word.encode()) == got
