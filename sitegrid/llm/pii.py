@@ -1,7 +1,7 @@
 """Personal data: base patterns, and a semi-Markov conditional random field for what they miss.
 
-Base spans follow fixed patterns and always stay. Between them, candidate segments around digits, at-signs, (at) and [at] are scored
-as whole spans: features see the full segment and its surroundings, such as digit counts, groups, checksums, key words
+Base spans follow fixed patterns and always stay. Between them, candidate segments
+around digits, at-signs, (at) and [at], after key words, and in capitals are scored as whole spans: features see the full segment and its surroundings, such as digit counts, groups, checksums, key words
 and clean edges. A path of the model divides a stretch into entities and plain characters; an entity is no longer than
 WIDEST characters, plain text scores 0. Dynamic programming over segment ends finds the best path, choosing boundaries
 and kinds together. Weights are learned by conditional likelihood, with the same lattice, on texts from a seeded
@@ -29,6 +29,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _HOT = re.compile(r"[0-9@(\[](?:(?<=[0-9@])|(?<=\()at\)|(?<=\[)at\])")
+#: Values that key words announce, and keys in capitals; neither needs a digit or an at-sign.
+_SAID = re.compile(r"(?i:token|password|passwd|secret|api[ _-]?key|pwd)[\"']? ?[=:] ?[\"']?([^\s\"'<>,;|&?#=]{8,128})")
+_CAPITALS = re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{16,64}(?![A-Za-z0-9])")
 _PLAIN = frozenset(" \t\r\n\v\f\"'<>,;|")
 
 
@@ -76,6 +79,7 @@ _MASKED_MAIL = re.compile(r"[\w.%+-]+ ?(?:@|\(at\)|\[at\]) ?[\w-]+(?: ?(?:\.|\(d
 _AT = re.compile(r" ?(?:@|\(at\)|\[at\]) ?[\w-]+")
 _DOT = re.compile(r" ?(?:\.|\(dot\)|\[dot\]) ?[\w-]+")
 _KEY = re.compile(r"[A-Z]{2,6}[A-Z0-9]{12,}")
+_ACCESS = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
 
@@ -87,7 +91,7 @@ def _inside(s: str) -> tuple[float, ...]:
     return (
         1, n == 10, 11 <= n <= 12, n == 13, 14 <= n <= 19, n > 19, n < 7, 14 <= n <= 19 and luhn(d), s.count(".") == 3 and len(groups) == 4 and max(groups) <= 3 and all(int(g) <= 255 for g in re.findall(r"[0-9]+", s)),
         len(groups) == 1, groups[:1] == [3] and groups[-2:] == [3, 4], groups[-2:] == [3, 4], len(groups) == 4 and set(groups) == {4}, "@" in s, _MASKED_MAIL.fullmatch(s) is not None, s[0] == "+", s[0] == "(", s.count("-") >= 2, " " in s,
-        letters == 0, letters > 0 and n > 0, _KEY.fullmatch(s) is not None, _HEX.fullmatch(s) is not None and letters > 0, upper > 8, len(s) >= 16, _MONTHS.fullmatch(s) is not None, len(groups) == 2 and s.count(".") == 1, not s[0].isalnum() and s[0] not in "+(", not s[-1].isalnum(), n / max(1, len(s)),
+        letters == 0, letters > 0 and n > 0, letters == len(s) >= 10, letters == len(s) == upper, _ACCESS.fullmatch(s) is not None, ":" in s or "=" in s, _KEY.fullmatch(s) is not None, _HEX.fullmatch(s) is not None and letters > 0, upper > 8, len(s) >= 16, _MONTHS.fullmatch(s) is not None, len(groups) == 2 and s.count(".") == 1, not s[0].isalnum() and s[0] not in "+(", not s[-1].isalnum(), n / max(1, len(s)),
     )
 
 
@@ -150,8 +154,16 @@ def _inner(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
 
 
 def candidates(text: str, low: int, high: int) -> list[tuple[int, int]]:
-    """Segments of text[low:high] that could be entities: chunks with a digit, an at-sign or its like, runs of up to five, and addresses."""
+    """Segments of text[low:high] that could be entities: chunks with a digit, an at-sign or its like, runs of up to five, addresses,
+    what follows a key word, and keys in capitals."""
     chunks, out, at = [], set(), low
+    for m in _SAID.finditer(text, low, high):
+        a, b = m.span(1)
+        while b > a and not text[b - 1].isalnum():
+            b -= 1
+        if b - a >= 8:
+            out.add((a, b))
+    out.update(m.span() for m in _CAPITALS.finditer(text, low, high))
     while (m := _HOT.search(text, at, high)) is not None:
         s, e = m.start(), m.end()
         while s > max(low, m.start() - WIDEST) and text[s - 1] not in _PLAIN:
@@ -272,9 +284,10 @@ def generate(n: int, seed: int = 3) -> list[tuple[str, list[tuple[int, int, int]
         (0, lambda: f"{word()}{pick('.', '_', '')}{word()} {pick('@', '(at)', '[at]')} {word()}{pick('.', ' (dot) ')}com".replace(" (at) ", pick("(at)", " @ ", "@"))), (0, lambda: f"{word()}{digits(2)}@{word()}.{pick('org', 'net', 'com')}"),
         (1, lambda: ".".join(str(x) for x in r.integers(1, 256, 4))), (2, card),
         (3, lambda: f"{pick('', '(')}{digits(3)}{pick(') ', '-', '.', ' ').replace(') ', '-')}{digits(3)}-{digits(4)}".replace("(", "")), (3, lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"), (3, lambda: f"+{digits(2)} {digits(3)} {digits(4)} {digits(3)}"),
+        (4, lambda: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), r.integers(12, 28)))), (4, lambda: pick("AKIA", "ASIA") + "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 16))),
         (4, lambda: pick("AKIA", "ASIA") + "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16))), (4, lambda: hexed(int(r.integers(16, 41)))), (4, lambda: word() + digits(3) + word().upper() + digits(4)),
     ]
-    fake = [lambda: f"{r.integers(1, 9)}.{r.integers(0, 20)}", lambda: f"{r.integers(1, 9)}.{r.integers(0, 20)}.{r.integers(0, 20)}", lambda: f"{r.integers(1900, 2030)}-{r.integers(1, 13)}-{r.integers(1, 29)}", lambda: digits(int(r.integers(6, 13))), lambda: digits(int(r.integers(20, 40))), lambda: f"${digits(3)},{digits(3)}.{digits(2)}", lambda: f"{word()}{digits(5)}", lambda: f"{digits(4)}/{digits(4)}", lambda: f"{r.integers(300, 999)}.{digits(3)}.{digits(3)}.{digits(3)}", lambda: f"{word()}@{word()}", lambda: word().upper() + digits(6), lambda: digits(15), lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"{digits(3)} {digits(3)}"]
+    fake = [lambda: f"{r.integers(1, 9)}.{r.integers(0, 20)}", lambda: f"{r.integers(1, 9)}.{r.integers(0, 20)}.{r.integers(0, 20)}", lambda: f"{r.integers(1900, 2030)}-{r.integers(1, 13)}-{r.integers(1, 29)}", lambda: digits(int(r.integers(6, 13))), lambda: digits(int(r.integers(20, 40))), lambda: f"${digits(3)},{digits(3)}.{digits(2)}", lambda: f"{word()}{digits(5)}", lambda: f"{digits(4)}/{digits(4)}", lambda: f"{r.integers(300, 999)}.{digits(3)}.{digits(3)}.{digits(3)}", lambda: f"{word()}@{word()}", lambda: word().upper() + digits(6), lambda: digits(15), lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"{digits(3)}-{digits(3)}:{word()}", lambda: f"{word()}:{digits(4)}-{word()}", lambda: f"{digits(3)} {digits(3)}", lambda: pick("token: ", "secret: ", "password = ") + word() + "ing", lambda: (word() + word() + word() + word() + word()).upper()[:24]]
     cue = {0: ["mail ", "contact: ", ""], 1: [""], 2: ["card ", ""], 3: ["tel. ", "call ", "phone: ", ""], 4: ["token = ", "password=", "secret: ", "api key: "]}
     out = []
     for _ in range(n):
@@ -314,7 +327,7 @@ def fit(texts: int = 800, rounds: int = 12) -> Field:
 def find(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans and the added ones; these overlap neither each other nor the base."""
     fixed, added = base(text), []
-    if not _HOT.search(text):
+    if not (_HOT.search(text) or _SAID.search(text) or _CAPITALS.search(text)):
         return fixed, added
     edges, at = [], 0
     for s, e, _ in fixed:

@@ -42,7 +42,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda x: x.kind == k)).cast("long").alias(f"n_{k}")
     place = lambda x: F.struct(x.start, F.array_position(F.array(*map(F.lit, pii.KINDS)), x.kind).alias("k"), x.end, x.kind)
     every = F.array_sort(F.transform(F.concat("base", "added"), place))
-    return found.select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return found.select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"), F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
