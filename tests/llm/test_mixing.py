@@ -103,3 +103,32 @@ def test_lines_of_a_null_id(spark):
     out = line_dedup.line_dedup(df).collect()
     assert len(out) == 22
     assert all(r.n_removed == 1 and "shared" not in r.text for r in out)
+
+
+def test_quotas_add_up(spark):
+    """Seats by highest quotients, against a plain count one by one; alike parties, one giant, and none."""
+    cases = {"alike": [10.4] * 50, "giant": [1000.0] + [0.4] * 40, "mixed": [0.0, 3.3, 7.7, 1.5, 1.5], "few": [0.02] * 100}
+    rows, want = [], {}
+    for g, shares in cases.items():
+        house = round(sum(shares))
+        got = [0] * len(shares)
+        for _ in range(house):
+            best = max(range(len(shares)), key=lambda i: (shares[i] / (2 * got[i] + 1), -i))
+            got[best] += 1
+        want[g] = got
+        rows += [(g, i, x, house) for i, x in enumerate(shares)]
+    df = spark.createDataFrame(rows, "g string, i long, share double, house long")
+    found = {g: [0] * len(x) for g, x in cases.items()}
+    for r in mixing.apportion(df, ["g"], ["i"], "seats").collect():
+        found[r.g][r.i] = r.seats
+    assert found == want
+
+
+def test_alike_shards_meet_the_target(spark):
+    docs = [(40 * j + i, " ".join(["word"] * 40), f"s{j:02d}") for j in range(40) for i in range(50)]
+    df = spark.createDataFrame([(i * 1000 + n, t, s) for n, (i, t, s) in enumerate(docs)], "doc_id long, text string, source string")
+    by: dict = {}
+    for r in mixing.mix(df, shard_words=256).collect():
+        goal, taken = by.get(r.source, (0, 0))
+        by[r.source] = (r.target, taken + r.taken)
+    assert all(abs(goal - taken) <= 2 * 64 for goal, taken in by.values())
