@@ -48,44 +48,51 @@ def test_words_outside_the_table(spark):
 def test_probabilities_add_up():
     r = np.random.default_rng(0)
     unigram = np.full(40, 1 / 40)
-    m = lm.LogBilinear(40, 8, unigram=unigram)
-    for _ in range(20):
-        u, v, w = r.integers(0, 41, 64), r.integers(0, 41, 64), r.integers(0, 40, 64)
-        m.learn(u, v, w, unigram.astype(np.float32), r.integers(0, 40, 20), 0.1)
+    models = [lm.Bilinear(41, unigram, 8) for _ in range(2)]
+    for m in models:
+        for _ in range(20):
+            m.learn(np.arange(41), r.integers(0, 9, (41, 40)).astype(np.float32), np.log(lm.NOISE * unigram).astype(np.float32), 0.1)
+    mixed = lm.Mixture([(*m.parts[:3], m.norms()) for m in models], unigram, (0.6, 0.3, 0.1))
     every = np.arange(40)
     for u, v in ((40, 40), (3, 7)):
-        p = 10 ** m.log10_prob(np.full(40, u), np.full(40, v), every)
+        p = 10 ** mixed.log10_prob(np.full(40, u), np.full(40, v), every)
         assert p.sum() == pytest.approx(1, abs=1e-5)
 
 
 def test_noise_contrastive_steps_find_the_distribution():
-    r = np.random.default_rng(1)
-    want = np.array([0.5, 0.3, 0.15, 0.05])
-    m = lm.LogBilinear(4, 4, unigram=np.full(4, 0.25))
-    for _ in range(2000):
-        w = r.choice(4, 128, p=want)
-        m.learn(np.full(128, 4), np.full(128, 4), w, np.full(4, 0.25, np.float32), r.integers(0, 4, 32), 0.05)
-    p = 10 ** m.log10_prob(np.full(4, 4), np.full(4, 4), np.arange(4))
+    want = np.array([[0.5, 0.3, 0.15, 0.05], [0.05, 0.05, 0.1, 0.8]])
+    m = lm.Bilinear(2, np.full(4, 0.25), 4)
+    for _ in range(3000):
+        m.learn(np.arange(2), (1000 * want).astype(np.float32), np.log(np.full(4, lm.NOISE / 4)).astype(np.float32), 0.05)
+    r, q, b = m.parts[:3]
+    p = np.exp(r @ q.T + b - m.norms()[:, None])
     assert np.abs(p - want).max() < 0.03
 
 
-def test_every_position_is_trained_on():
-    class Recorder:
-        seen = []
-
-        def learn(self, u, v, w, *_):
-            self.seen += zip(u.tolist(), v.tolist(), w.tolist(), strict=True)
-
-    u, v, w = np.arange(1300), np.arange(1300) + 1, np.arange(1300) % 40
-    lm.train_on(Recorder(), u, v, w, np.full(40, 1 / 40, np.float32), np.random.default_rng(5))
-    assert sorted(Recorder.seen) == sorted(zip(u.tolist(), v.tolist(), w.tolist(), strict=True))
-
-
-def test_a_single_text_moves_the_model(spark):
-    """A sample of one position in four takes neither of these two."""
-    got = lm.score(spark.createDataFrame([(0, "word")], "doc_id long, text string")).first()
-    unigram = np.array([1.5, 0.5, 1.5, 0.5])
-    start = lm.LogBilinear(4, 24, unigram=unigram / unigram.sum())
-    untrained = start.log10_prob(np.array([4, 4]), np.array([4, 2]), np.array([2, 0])).sum()
-    assert not got.held_out
-    assert abs(got.score - untrained) > 1e-4
+def test_pairs_of_every_position(spark):
+    """Counts of pairs against a plain count, whatever the partitions; rows that aren't trained on give none."""
+    docs = [(i, " ".join(f"w{(i * j) % 7}" for j in range(1, i % 9))) for i in range(60)] + [(60, None), (61, "")]
+    ids = {b"": 0, b"w0": 2, b"w1": 3, b"w3": 4}
+    want: dict = {}
+    for i, t in docs:
+        if i % 5:
+            row = [5, 5, *(ids.get(x, 1) for x in (t or "").encode().split()), 0]
+            for u, v, w in zip(row, row[1:], row[2:], strict=False):
+                want[v * 5 + w] = want.get(v * 5 + w, 0) + 1
+                want[(6 + u) * 5 + w] = want.get((6 + u) * 5 + w, 0) + 1
+    words = spark.sparkContext.broadcast((None, None, ids))
+    for parts in (1, 7):
+        df = spark.createDataFrame(docs, "id long, text string").repartition(parts)
+        got = {}
+        for r in lm.pairs(df, words, 5, lambda i: i % 5 != 0, 3).collect():
+            got |= dict(zip(np.frombuffer(r.keys, np.int64).tolist(), np.frombuffer(r.n, np.int64).tolist(), strict=True))
+        assert got == want
+
+
+def test_partitions_do_not_matter(spark):
+    docs = [(i, " ".join(f"w{(i * j) % 31}" for j in range(1, 40))) for i in range(80)]
+    scores = []
+    for parts in (1, 6):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+        scores.append({r.doc_id: r.score for r in lm.score(df, size=20).collect()})
+    assert all(scores[0][i] == pytest.approx(x, rel=1e-4) for i, x in scores[1].items())
