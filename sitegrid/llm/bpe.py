@@ -46,7 +46,7 @@ CACHE = 200_000
 TABLE = 150_000
 
 
-def _unsure() -> re.Pattern:
+def unsure() -> re.Pattern:
     global UNSURE
     if UNSURE is None:
         open_ = [c for c in range(256, 0xE0000) if unicodedata.category(chr(c)) == "Cn"]
@@ -61,7 +61,7 @@ def split(text: str) -> list[str]:
     try:
         text.isascii() or text.encode("latin-1")
     except UnicodeEncodeError:
-        if _unsure().search(text):
+        if unsure().search(text):
             return [text[a:b] for _, (a, b) in ByteLevel(add_prefix_space=False).pre_tokenize_str(text)]
         return SPLIT.findall(text)
     return PLAIN.findall(text)

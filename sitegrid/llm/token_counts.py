@@ -1,8 +1,8 @@
 """Token counts by a map-side lookup in two tiers, without a shuffle of pre-tokens.
 
 A first pass lists the frequent pre-tokens: every task keeps a bounded summary of all its rows and hands on its heaviest
-few; only those few are added up, and the heaviest of them, with their lengths in tokens, make a table of at most
-``frequent`` entries that is broadcast. The second pass splits the texts, looks lengths up in that table, and encodes
+few as one row; these summaries are merged group by group, never by word, and the heaviest of the last, with their lengths
+in tokens, make a table of at most ``entries`` entries that is broadcast. The second pass splits the texts, looks lengths up in that table, and encodes
 what is missing through a bounded cache in each worker. The table only saves time: counts don't depend on it.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sitegrid.llm.bpe import Recent, byte_chars
+from sitegrid.llm.bpe import Recent, byte_chars, unsure
 from sitegrid.llm.common import pieces
 
 SLOW = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -58,7 +58,10 @@ class Counts:
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
-                return None, special
+                if unsure().search(text):
+                    return None, special
+                # the library lower-cases letter by letter, so a sigma at the end of a word is like any other
+                return SLOW.findall(text.replace("\u03a3", "\u03c3").lower()), special
         return FAST.findall(text.lower()), special
 
     def count(self, text: str) -> int:
@@ -78,6 +81,10 @@ def load(path: str) -> Counts:
 
 def frequent(docs: DataFrame, path: str, entries: int, each: int, text_col: str = "text") -> list[str]:
     """The heaviest pre-tokens of all rows, at most entries of them."""
+    schema = pa.schema([("words", pa.string()), ("n", pa.list_(pa.int64()))])
+
+    def summary(top: list[tuple[str, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"words": "\n".join(w for w, _ in top), "n": [n for _, n in top]}] if top else [], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, seen = load(path), Counter()
@@ -86,11 +93,23 @@ def frequent(docs: DataFrame, path: str, entries: int, each: int, text_col: str
                 seen.update(c.split(t)[0] or () if t else ())
             if len(seen) > 300_000:
                 seen = Counter(dict(seen.most_common(100_000)))
-        top = [(w, n) for w, n in seen.most_common(each) if len(w) <= WIDE and n > 1]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+        yield summary([(w, n) for w, n in seen.most_common(each) if len(w) <= WIDE and n > 1])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in batches:
+            for words, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for w, x in zip(words.split("\n"), n, strict=True):
+                    seen[w] += x
+            if len(seen) > 300_000:
+                seen = Counter(dict(seen.most_common(100_000)))
+        yield summary(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:entries])
 
-    some = docs.select(text_col).mapInArrow(run, "word string, n long")
-    return [r.word for r in some.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries).select("word").collect()]
+    some = docs.select(text_col).mapInArrow(run, "words string, n array<long>")
+    for groups in (64, 8, 1):
+        some = some.repartition(groups).mapInArrow(merge, "words string, n array<long>")
+    last = some.collect()
+    return last[0].words.split("\n") if last else []
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", entries: int = 32_768, each: int = 8_192) -> DataFrame:
