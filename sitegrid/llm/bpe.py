@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers.pre_tokenizers import ByteLevel
 
-from sitegrid.llm.common import pieces
+from sitegrid.llm.common import pieces, small_batches
 
 #: The byte-level pre-splitting; white space is Unicode's, as in the library.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -41,9 +41,9 @@ PLAIN = re.compile(rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBERS}]+| ?[^{S
 #: Code points that Unicode versions disagree on; the library itself splits texts that hold them.
 UNSURE = None
 NEVER = 1 << 60
-CACHE = 200_000
+CACHE = 300_000
 #: Transitions that are kept, at most, before a word.
-TABLE = 150_000
+TABLE = 400_000
 
 
 def unsure() -> re.Pattern:
@@ -103,6 +103,8 @@ class Automaton:
         size = len(self.labels)
         self.gadgets: dict[int, int] = {}
         self.size = size
+        self.heads: dict[int, list] = {}
+        self.tails: dict[int, list] = {}
         self.birth, self.left, self.right = (array("i", [-1]) * size for _ in range(3))
         for rank, pair in enumerate(merges):
             u, v = pair.split(" ") if isinstance(pair, str) else pair
@@ -145,10 +147,14 @@ class Automaton:
 
     def follows(self, x: int, t: int) -> bool:
         """Whether the state that x leads to has an arc t."""
-        heads, get, size = self._edge(t, self.left), self.gadgets.get, self.size
-        for u, end in self._edge(x, self.right):
+        if (heads := self.heads.get(t)) is None:
+            heads = self.heads[t] = self._edge(t, self.left)
+        if (tails := self.tails.get(x)) is None:
+            tails = self.tails[x] = [(u * self.size, end) for u, end in self._edge(x, self.right)]
+        get = self.gadgets.get
+        for u, end in tails:
             for v, stop in heads:
-                if (at := get(u * size + v)) is not None and at < end and (at < stop or at == stop and u == v):
+                if (at := get(u + v)) is not None and at < end and (at < stop or at == stop and u == v * self.size):
                     return False
         return True
 
@@ -177,12 +183,13 @@ class Automaton:
         """The one accepted path that spells word: a transition a byte, then the path's arcs from the last one."""
         if len(self.steps) > TABLE:
             self._reset()
-        get, step, state, path = self.steps.get, self.step, 0, []
+        steps, state, path = self.steps, 0, []
         for c in word:
-            if (to := get(state << 8 | c)) is None:
-                to = step(state, c)
-            path.append(to)
-            state = to
+            try:
+                state = steps[state << 8 | c]
+            except KeyError:
+                state = self.step(state, c)
+            path.append(state)
         out, at, labels, ends = [], len(word), self.labels, self.ends
         while at:
             t = ends[path[at - 1]]
@@ -259,7 +266,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         load.cache_clear()  # the worker lives on for other tasks, which need the memory more than the quarter of a second
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -281,4 +288,4 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=[id_col, "ids", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, text string")
+    return small_batches(encoded.select(id_col, ids_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, text string")

@@ -34,6 +34,18 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sitegrid-{uuid.uuid4().hex}"
 
 
+#: Bytes of a batch that goes to Python, in place of Spark's 64 MB: a batch exists several times over, in the JVM and in Python.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded to BATCH_BYTES from now on, unless their size was set before."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) in ("64MB", f"{64 << 20}b"):
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

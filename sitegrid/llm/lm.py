@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrid.llm.common import Tables, materialize, pieces
+from sitegrid.llm.common import materialize, pieces, small_batches
 
 #: The token that ends a text; no word is empty.
 END = b""
@@ -181,7 +181,7 @@ def pairs(docs: DataFrame, words, classes: int, train, groups: int) -> DataFrame
 
         return run
 
-    first = docs.mapInArrow(gather, shape).repartition("context", "salt").sortWithinPartitions("salt", "context").mapInArrow(merge(False), shape)
+    first = small_batches(docs).mapInArrow(gather, shape).repartition("context", "salt").sortWithinPartitions("salt", "context").mapInArrow(merge(False), shape)
     return first.repartition("part").sortWithinPartitions("part", "context").mapInArrow(merge(True), "part int, keys binary, n binary")
 
 
@@ -269,7 +269,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, size: int = 4094, dim:
                 yield out()
         yield out()
 
-    counts = materialize(d.mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
+    counts = materialize(small_batches(d).mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     v_all, n_all = (int(x or 0) for x in counts.agg(F.count("*"), F.sum("c")).first())
     top = [(r.word.encode(), r.c) for r in counts.where(F.octet_length("word") <= WIDE).orderBy(F.desc("c"), "word").limit(table).toLocalIterator()]
     classes = 2 + min(size, len(top))
