@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers.pre_tokenizers import ByteLevel
 
-from sitegrid.llm.common import pieces, small_batches
+from sitegrid.llm.common import arrow_map, pieces
 
 #: The byte-level pre-splitting; white space is Unicode's, as in the library.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -263,10 +263,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             rows = [a.encode_text(t or "") for t in b.column(1).to_pylist()]
             off = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(rows)))], names=[id_col, "ids"])
-        load.cache_clear()  # the worker lives on for other tasks, which need the memory more than the quarter of a second
+        load.cache_clear()  # a worker outlives its task; others need the memory more than the quarter of a second
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -288,4 +288,4 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=[id_col, "ids", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return small_batches(encoded.select(id_col, ids_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, text string")
+    return arrow_map(encoded.select(id_col, ids_col), run, f"`{id_col}` {kind}, ids array<int>, text string")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegrid.llm.common import Tables, bloom, materialize, mix, pieces, raw, shingles, small_batches
+from sitegrid.llm.common import Tables, arrow_map, bloom, materialize, mix, pieces, raw, shingles
 from sitegrid.llm.components import components
 
 
@@ -61,7 +61,7 @@ def _signatures(docs: DataFrame, k: int, side: int) -> DataFrame:
             off = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *digests(sets), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(keys)))], names=["id", "th", "rest", "n", "d1", "d2", "keys"])
 
-    return small_batches(docs.select("id", "th", "rest", "text")).mapInArrow(run, "id long, th long, rest long, n long, d1 long, d2 long, keys array<long>")
+    return arrow_map(docs.select("id", "th", "rest", "text"), run, "id long, th long, rest long, n long, d1 long, d2 long, keys array<long>")
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
@@ -83,7 +83,7 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
                 off = np.concatenate([[0], np.cumsum([len(sets[i]) for i in new])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(new)) for c in cols), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([sets[i] for i in new]).view(np.int64)))], names=["n", "d1", "d2", "s"])
 
-    return small_batches(texts).mapInArrow(run, "n long, d1 long, d2 long, s array<long>")
+    return arrow_map(texts, run, "n long, d1 long, d2 long, s array<long>")
 
 
 def _compare(units: DataFrame, percent: int) -> DataFrame:
@@ -127,7 +127,7 @@ def _compare(units: DataFrame, percent: int) -> DataFrame:
             yield done()
 
     sorted_units = units.select("key", "i", "j", "side", "node", "comp", "s").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return small_batches(sorted_units).mapInArrow(run, "a long, b long").distinct()
+    return arrow_map(sorted_units, run, "a long, b long").distinct()
 
 
 def _blocks(n: Column) -> Column:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sitegrid.llm.common import pieces, small_batches
+from sitegrid.llm.common import arrow_map, pieces
 
 #: In the order that breaks ties between spans that start together.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -368,4 +368,4 @@ def pii(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", tex
 
     kind = docs.schema[id_col].dataType.simpleString()
     one = "array<struct<start:int,end:int,kind:string>>"
-    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, base {one}, added {one}")
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, base {one}, added {one}")

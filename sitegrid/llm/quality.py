@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrid.llm.common import BLANKS, pieces, raw, small_batches
+from sitegrid.llm.common import BLANKS, arrow_map, pieces, raw
 
 #: Classes of bytes: 0 other, 1-3 lower-case letters, capitals, digits, 4 blanks, 5 newline, then marks one by one.
 CLASS = np.zeros(256, np.uint8)
@@ -119,7 +119,7 @@ def _features_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             data, off = raw(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(data[i:j]).tobytes() for i, j in zip(off, off[1:], strict=False)], pa.binary())], names=["id", "x"])
 
-    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, "id long, x binary")
+    return arrow_map(docs.select(id_col, text_col), run, "id long, x binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, positives: int = 4000, unlabelled: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -151,7 +151,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             x = np.array([features(data[i:j]) for i, j in zip(off, off[1:], strict=False)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.score(x), pa.float64())], names=[id_col, "score"])
 
-    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, score double")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -167,7 +167,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: st
             if good.any():
                 yield b.filter(pa.array(good))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:

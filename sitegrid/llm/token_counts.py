@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sitegrid.llm.bpe import Recent, byte_chars, unsure
-from sitegrid.llm.common import pieces, small_batches
+from sitegrid.llm.common import arrow_map, pieces
 
 SLOW = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 LETTERS = "".join(chr(c) for c in range(256) if regex.match(r"\p{L}", chr(c)))
@@ -105,7 +105,7 @@ def frequent(docs: DataFrame, path: str, entries: int, each: int, text_col: str
                 seen = Counter(dict(seen.most_common(100_000)))
         yield summary(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:entries])
 
-    some = small_batches(docs.select(text_col)).mapInArrow(run, "words string, n array<long>")
+    some = arrow_map(docs.select(text_col), run, "words string, n array<long>")
     for groups in (64, 8, 1):
         some = some.repartition(groups).mapInArrow(merge, "words string, n array<long>")
     last = some.collect()
@@ -134,4 +134,4 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             texts = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array([c.count(t) if t else 0 for t in texts], pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
-    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
