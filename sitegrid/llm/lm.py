@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrid.llm.common import materialize, pieces, small_batches
+from sitegrid.llm.common import arrow_map, materialize, pieces
 
 #: The token that ends a text; no word is empty.
 END = b""
@@ -181,7 +181,7 @@ def pairs(docs: DataFrame, words, classes: int, train, groups: int) -> DataFrame
 
         return run
 
-    first = small_batches(docs).mapInArrow(gather, shape).repartition("context", "salt").sortWithinPartitions("salt", "context").mapInArrow(merge(False), shape)
+    first = arrow_map(docs, gather, shape).repartition("context", "salt").sortWithinPartitions("salt", "context").mapInArrow(merge(False), shape)
     return first.repartition("part").sortWithinPartitions("part", "context").mapInArrow(merge(True), "part int, keys binary, n binary")
 
 
@@ -220,25 +220,32 @@ def fit(table: DataFrame, classes: int, unigram: np.ndarray, dim: int, groups: i
                         blob = [own.astype(np.int32), r[own], seen_r[own], q, bias, seen_q, seen_b]
                         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([float(count.sum())]), pa.array([[x.tobytes() for x in blob]], pa.list_(pa.binary()))], names=["part", "kind", "mass", "blob"])
 
-        found = sorted(table.mapInArrow(train, "part int, kind int, mass double, blob array<binary>").collect(), key=lambda x: (x.kind, x.part))
-        shared.unpersist()
-        for kind, m in enumerate(models):
-            mine = [x for x in found if x.kind == kind and x.mass > 0]
-            mass = sum(x.mass for x in mine)
-            if not mine:
-                continue
-            new = [m.parts[0].copy(), np.zeros_like(m.parts[1]), np.zeros_like(m.parts[2]), m.parts[3].copy(), np.zeros_like(m.parts[4]), np.zeros_like(m.parts[5])]
-            for x in mine:
-                own = np.frombuffer(x.blob[0], np.int32)
-                new[0][own] = np.frombuffer(x.blob[1], np.float32).reshape(-1, dim)
-                new[3][own] = np.frombuffer(x.blob[2], np.float32).reshape(-1, dim)
-                for i, j in ((1, 3), (2, 4), (4, 5), (5, 6)):
-                    new[i] += np.float32(x.mass / mass) * np.frombuffer(x.blob[j], np.float32).reshape(new[i].shape)
-            m.parts = new
+        def average(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            new: dict = {}
+            for b in batches:
+                for kind, mass, blob in zip(*(b.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                    start = shared.value[kind]
+                    parts, total = new.setdefault(kind, ([start[0].copy(), *(np.zeros(x.shape) for x in start[1:3]), start[3].copy(), *(np.zeros(x.shape) for x in start[4:])], [0.0]))
+                    own = np.frombuffer(blob[0], np.int32)
+                    for i, j in ((0, 1), (3, 2)):
+                        parts[i][own] = np.frombuffer(blob[j], np.float32).reshape(-1, dim)
+                    for i, j in ((1, 3), (2, 4), (4, 5), (5, 6)):
+                        parts[i] += mass * np.frombuffer(blob[j], np.float32).reshape(parts[i].shape)
+                    total[0] += mass
+            for kind, (parts, total) in new.items():
+                if total[0]:
+                    out = [x if i in (0, 3) else (x / total[0]).astype(np.float32) for i, x in enumerate(parts)]
+                    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([kind], pa.int32()), pa.array(total), pa.array([[x.tobytes() for x in out]], pa.list_(pa.binary()))], names=["part", "kind", "mass", "blob"])
+
+        shape = "part int, kind int, mass double, blob array<binary>"
+        learned = table.mapInArrow(train, shape).repartition("kind").sortWithinPartitions("kind", "part")
+        for x in learned.mapInArrow(average, shape).collect():
+            models[x.kind].parts = [np.frombuffer(blob, np.float32).reshape(old.shape) for blob, old in zip(x.blob, models[x.kind].parts, strict=True)]
+        shared.destroy()
     return models
 
 
-def score(docs: DataFrame, folds: int = 5, held: int = 1, size: int = 4094, dim: int = 32, table: int = 131_072, groups: int = 8, rounds: int = 10, passes: int = 6, weights: tuple[float, ...] = (0.7, 0.2, 0.1), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, folds: int = 5, held: int = 1, size: int = 4094, dim: int = 32, table: int = 131_072, groups: int = 8, rounds: int = 6, passes: int = 10, weights: tuple[float, ...] = (0.7, 0.2, 0.1), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for every whole text.
 
     Learns from texts whose crc32 of the id as text, modulo folds, is not held. Tokens: words that blanks separate, A-Z
@@ -269,7 +276,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, size: int = 4094, dim:
                 yield out()
         yield out()
 
-    counts = materialize(small_batches(d).mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
+    counts = materialize(arrow_map(d, count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     v_all, n_all = (int(x or 0) for x in counts.agg(F.count("*"), F.sum("c")).first())
     top = [(r.word.encode(), r.c) for r in counts.where(F.octet_length("word") <= WIDE).orderBy(F.desc("c"), "word").limit(table).toLocalIterator()]
     classes = 2 + min(size, len(top))
@@ -322,7 +329,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, size: int = 4094, dim:
                 yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.nulls(len(r), pa.int64()), pa.array(x, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.float64()), pa.nulls(len(r), pa.float64())], names=["row", "id", "word", "n", "known", "base", "model"])
 
     # a row number of its own tells repeated rows apart; it is written once, with what hangs on it
-    rows = materialize(d.withColumn("row", F.monotonically_increasing_id()).mapInArrow(rate, "row long, id long, word string, n long, known long, base double, model double"), "rows")
+    rows = materialize(arrow_map(d.withColumn("row", F.monotonically_increasing_id()), rate, "row long, id long, word string, n long, known long, base double, model double"), "rows")
     c = F.coalesce("c", F.lit(0))
     rare = rows.where("word is not null").select("row", "word", "n").join(counts, "word", "left").select("row", F.lit(0).cast("long").alias("tokens"), F.when(c > 0, F.col("n")).otherwise(0).cast("long").alias("known"), (F.col("n") * F.log10((c + 0.5) / low)).alias("base"), (F.col("n") * F.log10((c + 0.5) / low_other)).alias("model"))
     whole = rows.where("word is null").select("row", "id", F.col("n").alias("tokens"), "known", "base", "model")
