@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegrid.functions.scalars import beta, code2, decile, level, packed_mu
+from sitegrid.operators.blocks import runs
 
 
 def value(kind: str, n: int = 0) -> Column:
@@ -69,5 +70,5 @@ def genome_view(df: DataFrame, kind: str, sites: DataFrame, max_cols: int = 80,
 
 
 def chrom_runs(sites: DataFrame) -> DataFrame:
-    """(chrom, first_row, last_row, n)"""
-    return sites.groupBy("chrom").agg(F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"), F.count("*").alias("n"))
+    """(chrom, first_row, last_row, n) of each run; a chromosome that reappears makes a row again."""
+    return runs(sites.select("row_id", "chrom"), "chrom").groupBy("run", "chrom").agg(F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"), F.count("*").alias("n")).drop("run")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegrid.functions.scalars import beta, char_bit, coordinate_parts
+from sitegrid.operators.blocks import running
 
 
 def _as_bit(df: DataFrame, kind: str) -> Column:
@@ -43,10 +44,23 @@ def mask(df: DataFrame, kind: str, by: DataFrame, invert: bool = False, contextu
     return d.select("sample", "row_id", (own & bit).alias("in_set"), bit.alias("in_uni")) if contextualize else d.select("sample", "row_id", (own & ~bit).alias("bit"))
 
 
-def index(df: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """samples(sample, ord): the tracks' names in order, 0-based."""
-    s = df.select("sample").distinct() if names is None else names.select("sample")
-    return s.select("sample", (F.row_number().over(Window.orderBy("sample")) - 1).cast("bigint").alias("ord"))
+def index(df: DataFrame, names: list[str] | DataFrame | None = None) -> DataFrame:
+    """samples(sample, ord): the tracks' names in order, 0-based.
+
+    names: a list in its own order, or a table in the order of its ord, or of its names if it has none. Tracks that a list
+    leaves out are called Unnamed_1 and so on, in order; a name that is given twice, or more names than tracks, is an error.
+    """
+    if isinstance(names, list):
+        if len(set(names)) < len(names):
+            raise ValueError("a name is given twice")
+        tracks = df.select("sample").distinct().count()
+        if len(names) > tracks:
+            raise ValueError(f"{len(names)} names for {tracks} tracks")
+        every = names + [f"Unnamed_{i + 1}" for i in range(len(names), tracks)]
+        return df.sparkSession.createDataFrame([(n, i) for i, n in enumerate(every)], "sample string, ord bigint")
+    s = df.select("sample").distinct() if names is None else names
+    by = "ord" if "ord" in s.columns else "sample"
+    return s.select("sample", (F.row_number().over(Window.orderBy(by)) - 1).cast("bigint").alias("ord"))
 
 
 def subset(df: DataFrame, samples: DataFrame, names: list[str] | None = None, head: int | None = None, tail: int | None = None) -> DataFrame:
@@ -68,6 +82,9 @@ def subset_states(states: DataFrame, terms: list[str]) -> DataFrame:
     """One bit track for each term."""
     if len(set(terms)) < len(terms):
         raise ValueError("a term is given twice")
+    found = {r.state for r in states.where(F.col("state").isin(terms)).select("state").distinct().collect()}
+    if lost := [t for t in terms if t not in found]:
+        raise ValueError(f"no state {lost[0]}")
     each = F.explode(F.array(*(F.struct(F.lit(t).alias("sample"), (F.col("state") == t).alias("bit")) for t in terms)))
     return states.select("row_id", each.alias("x")).select("x.sample", "row_id", "x.bit")
 
@@ -91,7 +108,7 @@ def rows_by_name(df: DataFrame, sites: DataFrame, names: list[str]) -> DataFrame
 
 def rows_by_mask(df: DataFrame, by: DataFrame) -> DataFrame:
     """Rows where the mask is on; row_id counts these rows."""
-    on = by.where("bit").select("row_id", (F.row_number().over(Window.orderBy("row_id")) - 1).cast("bigint").alias("new_id"))
+    on = running(by.where("bit").select("row_id"), F.lit(1).cast("bigint"), "count").select("row_id", (F.col("count") - 1).cast("bigint").alias("new_id"))
     return df.join(on, "row_id").withColumn("row_id", F.col("new_id")).drop("new_id")
 
 

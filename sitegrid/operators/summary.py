@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegrid.functions.scalars import beta, code2, log2_odds
+from sitegrid.operators.blocks import runs
 
 COLUMNS = ("query", "mask", "n_univ", "n_query", "n_mask", "n_overlap", "log2_odds_ratio", "beta", "depth")
 _T, _N = F.lit, F.col
@@ -59,9 +60,7 @@ def _ratio(a: str, b: str):
 
 def summary_sites(sites: DataFrame) -> DataFrame:
     """Rows of each run of a chromosome name; a chromosome that reappears makes a row again."""
-    order = Window.orderBy("row_id")
-    # runs by the difference of two ranks, the second within a chromosome; ranks over one axis, not over data
-    s = sites.withColumn("run", F.row_number().over(order) - F.row_number().over(Window.partitionBy("chrom").orderBy("row_id")))
+    s = runs(sites.select("row_id", "chrom"), "chrom")
     g = s.groupBy("chrom", "run").agg(F.count("*").alias("n_query"))
     g = g.withColumn("n_univ", F.sum("n_query").over(Window.partitionBy()))
     return _finish(g.select(_N("chrom").alias("query"), F.lit("global").alias("mask"), "n_univ", "n_query", F.lit(0).alias("n_mask"), F.lit(0).alias("n_overlap"), F.lit(None).cast("double").alias("beta"), F.lit(0).alias("sum_depth")), False)

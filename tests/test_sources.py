@@ -7,6 +7,8 @@ import sys
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from sitegrid.functions import scalars
 from sitegrid.operators import select
 from sitegrid.sources import text
@@ -101,3 +103,33 @@ def test_without_the_text_operators(tmp_path):
     shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'summary_mu_states' in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, timeout=120, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path / "r"), "HOME": "/root"})
+
+
+def test_names_keep_their_order(spark):
+    d = spark.createDataFrame([("a",), ("b",), ("c",)], "sample string")
+    assert [(r.sample, r.ord) for r in select.index(d, ["b", "a"]).orderBy("ord").collect()] == [("b", 0), ("a", 1), ("Unnamed_3", 2)]
+    for names in (["a", "a"], ["a", "b", "c", "d"]):
+        with pytest.raises(ValueError):
+            select.index(d, names)
+
+
+def test_a_missing_state_is_an_error(spark):
+    d = spark.createDataFrame([(0, "x")], "row_id bigint, state string")
+    with pytest.raises(ValueError):
+        select.subset_states(d, ["x", "y"])
+
+
+def test_runs_and_sums_across_blocks(spark):
+    from sitegrid.operators import blocks, render
+
+    chroms = ["a"] * 5 + ["b"] * 9 + ["a"] * 3 + [None] * 2 + ["a"]
+    rows = [(i, c) for i, c in enumerate(chroms) if i not in (6, 7, 8)]
+    d = spark.createDataFrame(rows, "row_id bigint, chrom string")
+    plain, run = [], 0
+    for n, (i, c) in enumerate(rows):
+        run += n == 0 or rows[n - 1][1] != c
+        plain.append((i, run))
+    for size in (2, 3, 100):
+        assert [(r.row_id, r.run) for r in blocks.runs(d, "chrom", size).orderBy("row_id").collect()] == plain
+        assert [r.n for r in blocks.running(d, F.lit(1), "n", size).orderBy("row_id").collect()] == list(range(1, len(rows) + 1))
+    assert sorted((r.first_row, r.chrom, r.n) for r in render.chrom_runs(d).collect()) == [(0, "a", 5), (5, "b", 6), (14, "a", 3), (17, None, 2), (19, "a", 1)]
