@@ -166,5 +166,12 @@ _add("popcount", lambda b, _: b.groupBy("sample").agg(F.count_if("bit").alias("n
 _add("dsample_mu", lambda d, _: sampling.dsample(d, "mu", 100).groupBy("sample").agg(F.count_if(F.expr("m + u > 0")).alias("n"), F.count("*").alias("n_rows")), "mu", sql="SELECT sample, least(100, count(*) FILTER (m+u>0)) AS n, count(*) AS n_rows FROM mu GROUP BY 1")
 _add("dsample_su", lambda d, _: sampling.dsample(d, "su", 50, repeats=2).groupBy("sample").agg(F.count_if("in_uni").alias("n")), "su", sql="SELECT sample||'-'||r AS sample, least(50, count(*) FILTER (in_uni)) AS n FROM su CROSS JOIN (SELECT unnest([0,1]) AS r) GROUP BY 1")
 _add("dsample_binary", lambda d, _: sampling.dsample(d, "mu", 100, to_binary=True), "mu")
+_add(
+    "dsample_binary_counts",
+    lambda d, _: sampling.dsample(d, "mu", 100, to_binary=True).groupBy("sample").agg(F.count_if(F.expr("m + u > 0")).alias("n"), F.count_if(F.expr("m + u = 1")).alias("n_single"), F.count("*").alias("n_rows")),
+    "mu",
+    sql="SELECT sample, least(100, count(*) FILTER (m+u>0)) AS n, CASE WHEN count(*) FILTER (m+u>0) > 100 THEN 100 ELSE count(*) FILTER (m+u=1) END AS n_single, count(*) AS n_rows FROM mu GROUP BY 1",
+)
+_add("perturb_su_all", lambda d, _: sampling.perturb(d, "su", 1.0), "su", sql="SELECT sample, row_id, CASE WHEN in_uni THEN NOT in_set ELSE in_set END AS in_set, in_uni FROM su")
 _add("perturb_bits", lambda b, _: sampling.perturb(b, "bits", 1.0), "bits", sql="SELECT sample, row_id, NOT bit AS bit FROM bits")
 _add("perturb_su", lambda d, _: sampling.perturb(d, "su", 0.05), "su")
