@@ -3,19 +3,22 @@
 Trusted positives are the documents labelled good; all documents of the training folds are the unlabelled ones. The
 class prior is estimated from both by the best bin of a first classifier's scores: where unlabelled documents outnumber
 positives least, nearly all of them are positive. A logistic model then minimises the non-negative unbiased risk
-prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). It is fitted on a bounded sample, and scores every document.
+prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). The positives are a bounded sample of the labelled rows; the unlabelled ones
+are all documents of the training folds, whose part in a step is a sum over their table. Every document is scored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrid.llm.common import BLANKS, arrow_map, pieces, raw
+from sitegrid.llm.common import BLANKS, Tables, arrow_map, pieces, raw
 
 #: Classes of bytes: 0 other, 1-3 lower-case letters, capitals, digits, 4 blanks, 5 newline, then marks one by one.
 CLASS = np.zeros(256, np.uint8)
@@ -56,55 +59,101 @@ def features(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fit(x: np.ndarray, positive: np.ndarray, weigh, steps: int, rate: float, decay: float) -> np.ndarray:
-    """Adam on a linear model; weigh(scores) gives the derivative of the risk in each score."""
-    w, m, v = np.zeros(x.shape[1]), 0.0, 0.0
-    for t in range(1, steps + 1):
-        g = x.T @ weigh(x @ w, positive) + decay * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
-
-
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.2) -> float:
-    """An upper estimate of the share of positives among the unlabelled, from scores of both."""
+def prior(positive: np.ndarray, unlabelled: Callable[[np.ndarray], np.ndarray], n: int, least: float = 0.2) -> float:
+    """An upper estimate of the share of positives among n unlabelled ones, from scores of both.
+
+    unlabelled(cuts) counts the unlabelled scores from each cut on.
+    """
     cuts = np.quantile(positive, np.linspace(0, 1 - least, 41))
-    shares = [(unlabelled >= c).mean() / max(1e-9, (positive >= c).mean()) for c in cuts]
-    slack = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(len(unlabelled)) + 1 / np.sqrt(len(positive)))
-    best = int(np.argmin([s + slack / max(1e-9, (positive >= c).mean()) for s, c in zip(shares, cuts, strict=True)]))
-    return float(np.clip(shares[best], 0.05, 0.99))
+    over = np.array([(positive >= c).mean() for c in cuts])
+    shares = unlabelled(cuts) / n / np.maximum(1e-9, over)
+    slack = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(n) + 1 / np.sqrt(len(positive)))
+    return float(np.clip(shares[np.argmin(shares + slack / np.maximum(1e-9, over))], 0.05, 0.99))
+
+
+#: Adds up what a function makes of the features of all unlabelled rows; None if there are none.
+Sums = Callable[[Callable[[np.ndarray], np.ndarray]], np.ndarray | None]
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Six decimals: the order in which partial sums arrive doesn't show."""
+    return np.round(x, 6)
 
 
 class Model:
-    """Weights on standardised features. score(features) is the probability of good quality."""
-
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400) -> None:
-        x = np.vstack([positive, unlabelled]).astype(np.float64)
-        self.mean, self.std = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
-        x = self._scaled(x)
-        p = np.arange(len(x)) < len(positive)
-        self.weights, self.prior = np.zeros(x.shape[1]), 1.0
-        if not len(positive) or not len(unlabelled):
-            self.weights[0] = 3.0  # nothing to learn from: everything passes
-            return
-        n_p, n_u = len(positive), len(unlabelled)
-        first = _fit(x, p, lambda z, p: np.where(p, -_sigmoid(-z) / n_p, _sigmoid(z) / n_u) / 2, steps // 2, 0.05, 1e-3)
-        z = x @ first
-        self.prior = prior(z[p], z[~p])
+    """Weights on standardised features. score(features) is the probability of good quality.
 
-        def risk(z: np.ndarray, p: np.ndarray) -> np.ndarray:
-            s = _sigmoid(z)
-            minus = np.logaddexp(0, z)
-            other = minus[~p].mean() - self.prior * minus[p].mean()
-            if other >= 0:
-                return np.where(p, self.prior * (-_sigmoid(-z) - s) / n_p, s / n_u)
-            return np.where(p, self.prior * s / n_p, -s / n_u)
+    positive: features of trusted positives. unlabelled: those of the unlabelled ones, or Sums over them. Each Newton step
+    is one sum over all the unlabelled, so their number has no bound.
+    """
 
-        self.weights = _fit(x, p, risk, steps, 0.05, 1e-3)
+    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray | Sums, steps: int = 8, decay: float | None = None) -> None:
+        rows: Sums = unlabelled if callable(unlabelled) else lambda f: f(unlabelled) if len(unlabelled) else None
+        width = positive.shape[1]
+        self.mean, self.std, self.weights = np.zeros(width), np.ones(width), np.zeros(width + 1)
+        self.prior, self.share = 1.0, 1.0
+        decay = max(1e-3, 1 / max(1, len(positive))) if decay is None else decay
+        moments = rows(lambda x: np.concatenate([[len(x)], x.sum(0, np.float64), (x.astype(np.float64) ** 2).sum(0)]))
+        if moments is None or not len(positive):
+            self.weights[0] = 3.0  # nothing to learn from: everything passes
+            return
+        n, (first, second) = moments[0], moments[1:].reshape(2, -1) / moments[0]
+        self.mean, self.std = _rounded(first), _rounded(np.sqrt(np.maximum(0, second - first**2)) + 1e-3)
+        scaled, good = self._scaled, self._scaled(positive)
+
+        def parts(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            """Mean loss of the unlabelled as negatives, with its gradient and curvature."""
+
+            def f(x: np.ndarray) -> np.ndarray:
+                x = scaled(x)
+                z = x @ w
+                s = _sigmoid(z)
+                return np.concatenate([[np.logaddexp(0, z).sum()], x.T @ s, ((x * (s * (1 - s))[:, None]).T @ x).ravel()])
+
+            out = rows(f) / n
+            return out[0], out[1 : width + 2], out[width + 2 :].reshape(width + 1, -1)
+
+        def newton(risk: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray, float]], w: np.ndarray) -> tuple[np.ndarray, float]:
+            """The least risk, from w on; a step that doesn't lower it is halved until it does. Gives the negatives' part there, too."""
+            value, slope, bend, other = risk(w)
+            step = -np.linalg.solve(bend + decay * np.eye(len(w)), slope)
+            for _ in range(steps):
+                new = risk(w + step)
+                if new[0] > value:
+                    step = step / 2
+                    continue
+                w, gain, (value, slope, bend, other) = w + step, value - new[0], new
+                step = -np.linalg.solve(bend + decay * np.eye(len(w)), slope)
+                if gain < 1e-6:
+                    break
+            return w, other
+
+        def mixed(w: np.ndarray, a: float, b: float, c: float) -> tuple[float, np.ndarray, np.ndarray, float]:
+            """a * R_u(-) + b * R_p(+) - c * R_p(score) + decay, with gradient, curvature without decay's own, and the negatives' part."""
+            loss, slope, bend = parts(w)
+            z = good @ w
+            s = _sigmoid(-z)
+            own = ((good * (s * (1 - s))[:, None]).T @ good) / len(good)
+            value = a * loss + b * np.logaddexp(0, -z).mean() - c * z.mean() + decay * (w @ w) / 2
+            return value, a * slope - b * (good.T @ s) / len(good) - c * good.mean(0) + decay * w, a * bend + b * own, loss - self.prior * np.logaddexp(0, z).mean()
+
+        # positives against unlabelled, both of weight one half
+        w = _rounded(newton(lambda w: mixed(w, 0.5, 0.5, 0.0), np.zeros(width + 1))[0])
+        count = lambda cuts: rows(lambda x: (np.round(scaled(x) @ w, 9)[:, None] >= cuts).sum(0).astype(np.float64))
+        self.prior = prior(np.round(good @ w, 9), count, n)
+        # max(0, x) is the most that share * x gives for a share of 0 to 1. A positive's two losses differ by its score, so the
+        # risk is convex for any share; the share falls until the negatives' part is not below zero
+        share, w = 1.0, np.zeros(width + 1)
+        while True:
+            w, other = newton(lambda w, t=share: mixed(w, t, (1 - t) * self.prior, t * self.prior), w)
+            if other > -1e-3 or share < 0.1:
+                break
+            share *= 0.8
+        self.weights, self.share = _rounded(w), share
 
     def _scaled(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.ones(len(x)), np.clip((x - self.mean) / self.std, -8, 8)])
@@ -122,20 +171,65 @@ def _features_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return arrow_map(docs.select(id_col, text_col), run, "id long, x binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, positives: int = 4000, unlabelled: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model learned from at most positives and unlabelled documents, those of the smallest hashes, outside the held fold.
+def _stack(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, KINDS * KINDS + EXTRA)
+
+
+def _over(rows: DataFrame) -> Sums:
+    """Sums over rows(x binary): of each task, then of about the root of their number of tasks, then in the driver."""
+    fan = max(1, math.isqrt(rows.rdd.getNumPartitions()))
+
+    def sums(f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                if len(b):
+                    part = f(_stack(b.column(0)))
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "s"])
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, first = None, None
+            for b in batches:
+                for part, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    total = np.frombuffer(s) if total is None else total + np.frombuffer(s)
+                    first = part if first is None else first
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "s"])
+
+        few = arrow_map(rows.select("x"), each, "part long, s binary").repartition(fan, F.pmod("part", F.lit(fan))).sortWithinPartitions("part")
+        got = sorted(arrow_map(few, merge, "part long, s binary").collect())
+        return sum(np.frombuffer(r.s) for r in got) if got else None
+
+    return sums
+
+
+def _smallest(ids: DataFrame, n: int, bins: int = 1 << 16) -> list[int]:
+    """The n distinct ids of the smallest hashes. Counts by bins of hashes tell from which bin on no id is among them, so
+    tasks send the driver little more than n in all."""
+    d = ids.toDF("id").where("id is not null").distinct().withColumn("h", F.xxhash64(F.lit(1), "id"))
+    d = d.withColumn("bin", F.shiftright("h", 64 - bins.bit_length() + 1))
+    seen, last = 0, None
+    for r in sorted(d.groupBy("bin").count().collect()):
+        if seen >= n:
+            break
+        seen, last = seen + r[1], r.bin
+    return [r.id for r in d.where(F.col("bin") <= last).orderBy("h", "id").limit(n).collect()] if seen else []
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, positives: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model learned from all documents outside the held fold as the unlabelled ones, each row by its own text, and at most
+    positives of those that labels mark, the ones of the smallest hashes; of rows with the same id, one text.
 
     labels(doc_id, quality): quality 1 marks trusted positives; null and other values mark nothing.
     """
-    spark = docs.sparkSession
-    ours = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) != held
-    pick = lambda df, salt, n: df.where(ours).select(id_col).orderBy(F.xxhash64(F.lit(salt), id_col), id_col).limit(n)
-    good = [r[0] for r in pick(labels.where("quality = 1"), 1, positives).collect()]
-    some = [r[0] for r in pick(docs, 2, unlabelled).collect()]
-    ids = spark.createDataFrame([(i,) for i in sorted({*good, *some})], f"{id_col} long")
-    rows = {r.id: np.frombuffer(r.x, np.float32) for r in _features_of(docs.join(F.broadcast(ids), id_col, "left_semi"), id_col, text_col).toLocalIterator()}
-    stack = lambda ids: np.array([rows[i] for i in ids if i in rows], np.float32).reshape(-1, KINDS * KINDS + EXTRA)
-    return Model(stack(good), stack(some))
+    ours = lambda c: F.pmod(F.crc32(F.col(c).cast("string")), F.lit(folds)) != held
+    with Tables(docs.sparkSession) as keep:
+        rows = keep(_features_of(docs.where(ours(id_col)), id_col, text_col), "features")
+        ids = docs.sparkSession.createDataFrame([(i,) for i in _smallest(labels.where("quality = 1").where(ours(id_col)).select(id_col), positives)], "id long")
+        good = rows.join(F.broadcast(ids), "id", "left_semi").groupBy("id").agg(F.min("x").alias("x")).orderBy("id").collect()
+        return Model(_stack(pa.array([bytes(r.x) for r in good], pa.binary())), _over(rows))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -54,3 +54,32 @@ def test_risk_stays_non_negative():
     m = quality.Model(good[:100], np.vstack([good[100:], bad]))
     assert 0.45 < m.prior < 0.85
     assert (m.score(good) >= 0.3).mean() > 0.95 and (m.score(bad) < 0.3).mean() > 0.9
+
+
+def test_sums_over_a_table(spark):
+    """Features added up by tasks give the model of the same features in one array, however they are divided."""
+    r = np.random.default_rng(1)
+    width = quality.KINDS * quality.KINDS + quality.EXTRA
+    x = (r.random((600, width)) + np.repeat([0.0, 0.2], 300)[:, None]).astype(np.float32)
+    plain = quality.Model(x[:60], x)
+    df = spark.createDataFrame([(v.tobytes(),) for v in x], "x binary")
+    for n in (1, 7):
+        m = quality.Model(x[:60], quality._over(df.repartition(n)))
+        assert m.prior == plain.prior and np.abs(m.weights - plain.weights).max() <= 2e-6
+
+
+def test_smallest_hashes(spark):
+    ids = spark.range(1000).unionAll(spark.range(500)).unionAll(spark.createDataFrame([(None,)], "id long"))
+    by_hash = [r.id for r in spark.range(1000).selectExpr("id", "xxhash64(1, id) as h").orderBy("h").collect()]
+    for n in (0, 1, 10, 999, 5000):
+        assert quality._smallest(ids, n) == by_hash[:n]
+    assert quality._smallest(ids.limit(0), 5) == []
+
+
+def test_repeated_ids_by_their_own_texts(spark):
+    """Rows of one id with other texts are unlabelled rows each; the order of rows changes nothing."""
+    words = "the quick brown fox jumps over one lazy dog and runs home again".split()
+    rows = [(i % 40, " ".join(words[j % len(words)] for j in range(i, i + 5 + i % 9)) if i % 3 else "!!! $$ 99 ## " * (i % 5 + 1)) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 40, 2)], "doc_id long, quality int")
+    a, b = (quality.train(spark.createDataFrame(x, "doc_id long, text string"), labels) for x in (rows, rows[::-1]))
+    assert a.prior == b.prior and np.abs(a.weights - b.weights).max() <= 2e-6
