@@ -198,7 +198,7 @@ def _over(rows: DataFrame) -> Sums:
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "s"])
 
-        few = arrow_map(rows.select("x"), each, "part long, s binary").repartition(fan, F.pmod("part", F.lit(fan))).sortWithinPartitions("part")
+        few = arrow_map(rows.select("x"), each, "part long, s binary").repartition(fan).sortWithinPartitions("part")
         got = sorted(arrow_map(few, merge, "part long, s binary").collect())
         return sum(np.frombuffer(r.s) for r in got) if got else None
 
