@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,16 @@ def enrich(df: DataFrame) -> DataFrame:
         (ndq / F.nullif(nd + nq - ndq, F.lit(0.0))).alias("jaccard"), (ndq / F.nullif(F.least(nd, nq), F.lit(0.0))).alias("overlap"),
         ((F.log2(nd) + F.log2(nq) - 2 * F.log2(nu)) / F.nullif(F.log2(ndq) - F.log2(nu), F.lit(0.0)) - 1).alias("npmi"), (2 * ndq / F.nullif(nd + nq, F.lit(0.0))).alias("dice"),
     )
+
+
+def tables(lines: DataFrame) -> DataFrame:
+    """Lines `value` of tab-separated nu, nd, nq, ndq and any further columns, as (nu, nd, nq, ndq, rest); a line with less than
+    four counts is an error."""
+    f = F.split("value", "\t", 5)
+    count = lambda i: F.when(F.try_element_at(f, F.lit(i + 1)).rlike("^[0-9]+$"), F.try_element_at(f, F.lit(i + 1)).cast("bigint")).otherwise(F.raise_error(F.concat(F.lit("not four counts: "), "value")).cast("bigint"))
+    return lines.select(*(count(i).alias(c) for i, c in enumerate(("nu", "nd", "nq", "ndq"))), F.try_element_at(f, F.lit(5)).alias("rest"))
+
+
+def enrich_file(spark: SparkSession, path: str) -> DataFrame:
+    """enrich of a text file of tables."""
+    return enrich(tables(spark.read.text(path)))

@@ -72,3 +72,62 @@ def genome_view(df: DataFrame, kind: str, sites: DataFrame, max_cols: int = 80,
 def chrom_runs(sites: DataFrame) -> DataFrame:
     """(chrom, first_row, last_row, n) of each run; a chromosome that reappears makes a row again."""
     return runs(sites.select("row_id", "chrom"), "chrom").groupBy("run", "chrom").agg(F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"), F.count("*").alias("n")).drop("run")
+
+
+#: Colours of ten levels from low to high, as numbers of the 256-colour terminal palette.
+LEVEL_COLOURS = (21, 27, 33, 39, 45, 231, 224, 217, 210, 196)
+
+
+def glyph(kind: str, deciles: bool = False, colour: bool = False) -> Column:
+    """A site's own character: sets are full, light or a dot outside the universe; bits 1 or 0; levels a letter or their decile.
+
+    colour puts the decile's colour around levels' deciles.
+    """
+    if kind == "su":
+        return F.when(~F.col("in_uni"), ".").when(F.col("in_set"), "\u2588").otherwise("\u2591")
+    if kind == "bits":
+        return F.col("bit").cast("int").cast("string")
+    b = _level_of(kind)
+    if not deciles:
+        return level(b)
+    tenth = F.when(b.isNotNull(), F.greatest(F.lit(0), decile(b)))
+    text = tenth.cast("string")
+    if colour:
+        shade = F.element_at(F.array(*(F.lit(c) for c in LEVEL_COLOURS)), tenth + 1)
+        text = F.concat(F.lit("\x1b[38;5;"), shade, F.lit("m"), text, F.lit("\x1b[0m"))
+    return F.coalesce(text, F.lit("."))
+
+
+def lines(df: DataFrame, text: Column, size: int = 1 << 20) -> DataFrame:
+    """(sample, block, line): the rows' texts one after another, in blocks of rows, so that no line holds a whole axis."""
+    d = df.select("sample", F.floor(F.col("row_id") / size).cast("bigint").alias("block"), "row_id", text.alias("x"))
+    ordered = F.array_sort(F.collect_list(F.struct("row_id", "x")))
+    return d.groupBy("sample", "block").agg(F.array_join(F.transform(ordered, lambda r: r.x), "").alias("line"))
+
+
+def site_view(df: DataFrame, kind: str, sites: DataFrame, deciles: bool = False, colour: bool = False) -> DataFrame:
+    """(sample, block, line): a character for each of the sites' rows."""
+    return lines(df.join(sites.select("row_id"), "row_id"), glyph(kind, deciles, colour))
+
+
+def dump(su: DataFrame) -> DataFrame:
+    """(sample, block, line): whole tracks of sets as 1, 0, and 2 outside the universe."""
+    return lines(su, value("su"))
+
+
+def unpack_chosen(df: DataFrame, kind: str, samples: DataFrame, names: list[str] | None = None, everything: bool = False, head: int | None = None, tail: int | None = None, n: int = 0) -> DataFrame:
+    """unpack of the named samples; else of all, of the first or of the last ones by samples(sample, ord); else of the first."""
+    if names is None:
+        order = samples.orderBy(F.desc("ord") if not everything and head is None and tail is not None else F.asc("ord"))
+        if not everything:
+            order = order.limit(head if head is not None else tail if tail is not None else 1)
+        names = [r.sample for r in sorted(order.collect(), key=lambda r: r.ord)]  # they become columns
+    elif lost := set(names) - {r.sample for r in samples.where(F.col("sample").isin(names)).collect()}:
+        raise ValueError(f"no sample {min(lost)}")
+    return unpack(df, kind, names, n)
+
+
+def header(samples: list[str], coordinates: int = 0) -> str:
+    """The first line of unpacked text: names of the coordinate's columns (3 or 1, or none) and of the samples."""
+    at = {0: [], 1: ["chrm_beg1"], 3: ["chrm", "beg0", "end1"]}[coordinates]
+    return "\t".join([*at, *samples])

@@ -26,14 +26,16 @@ def binarize(mu: DataFrame, threshold: float = 0.5, min_cov: int = 1, min_m: int
     return mu.select("sample", "row_id", (uni & hit).alias("in_set"), uni.alias("in_uni"))
 
 
-def mask(df: DataFrame, kind: str, by: DataFrame, invert: bool = False, contextualize: bool = False) -> DataFrame:
-    """df under the mask by(row_id, bit).
+def mask(df: DataFrame, kind: str, by: DataFrame, invert: bool = False, contextualize: bool = False, strict: bool = False) -> DataFrame:
+    """df under the mask by(row_id, bit). strict: unequal numbers of rows are an error.
 
     Counts and bits are cleared where the mask is on; sets keep only what the mask has on. contextualize makes bits a
     set in the mask as universe.
     """
     if kind not in ("mu", "su", "bits", "chars"):
         raise ValueError(f"{kind} can't be masked")
+    if strict:
+        same_axis(df, by)
     bit = ~F.col("mask_bit") if invert else F.col("mask_bit")
     d = df.join(by.select("row_id", F.col("bit").alias("mask_bit")), "row_id")
     if kind == "mu":
@@ -143,6 +145,91 @@ def info(df: DataFrame, kind: str) -> DataFrame:
     return df.groupBy("sample").agg(F.count("*").alias("n_rows"), F.lit(kind).alias("format"), keys.alias("n_keys"))
 
 
+#: The one-character code of each kind, and the bytes of a value of it where its rows don't tell.
+FORMATS = {"bits": ("0", 1), "chars": ("1", 1), "states": ("2", 0), "mu": ("3", 0), "betas": ("4", 4), "ternary": ("5", 4), "su": ("6", 2), "sites": ("7", 1)}
+
+
+def keys_text(states: DataFrame, width: int = 25) -> DataFrame:
+    """(sample, keys): how many keys and the first of them by first appearance; once there are over width characters, an ellipsis."""
+    k = states.groupBy("sample", "state").agg(F.min("row_id").alias("first"))  # keys are categories: a bounded list
+    of = Window.partitionBy("sample")
+    k = k.withColumn("n", F.count("*").over(of)).withColumn("head", F.concat(F.lit("N="), F.col("n"), F.lit("|")))
+    before = F.sum(F.length("state") + 1).over(of.orderBy("first", "state").rowsBetween(Window.unboundedPreceding, -1))
+    k = k.withColumn("before", F.length("head") + F.coalesce(before - 1, F.lit(0)))
+    shown = F.array_sort(F.collect_list(F.when(F.col("before") <= width, F.struct("first", "state"))))
+    g = k.groupBy("sample", "head").agg(F.first("n").alias("n"), shown.alias("shown"))
+    text = F.concat("head", F.array_join(F.transform("shown", lambda x: x.state), ","), F.when(F.size("shown") < F.col("n"), ",...").otherwise(""))
+    return g.select("sample", text.alias("keys"))
+
+
+def describe(df: DataFrame, kind: str, samples: DataFrame | None = None, file: str = "-") -> DataFrame:
+    """(file, sample, n_col, n_rows, format, unit_bytes, keys) of tracks.
+
+    samples(sample, ord) is their index: n_col is its size, "NA" without one; samples then have their place by name from 1 on.
+    A track that the index lacks is an error. unit_bytes is 0 where a value's size depends on the rows' text.
+    """
+    code, unit = FORMATS[kind]
+    d = df.groupBy("sample").agg(F.count("*").alias("n_rows"))
+    if kind == "mu":
+        d = d.join(max_unit(df).withColumnRenamed("unit", "unit_bytes"), "sample")
+    else:
+        d = d.withColumn("unit_bytes", F.lit(unit))
+    d = d.join(keys_text(df), "sample", "left") if kind == "states" else d.withColumn("keys", F.lit("NA"))
+    if samples is None:
+        d = d.withColumn("n_col", F.lit("NA")).withColumn("sample", F.row_number().over(Window.orderBy("sample")).cast("string"))  # one row a track
+    else:
+        n = samples.agg(F.count("*").cast("string").alias("n_col"))
+        d = d.join(samples.select("sample", "ord"), "sample", "left").crossJoin(F.broadcast(n))  # one row
+        d = d.withColumn("sample", F.when(F.col("ord").isNull(), F.raise_error(F.concat(F.lit("not in the index: "), "sample")).cast("string")).otherwise(F.col("sample")))
+    return d.select(F.lit(file).alias("file"), "sample", "n_col", "n_rows", F.lit(code).alias("format"), F.col("unit_bytes").cast("int").alias("unit_bytes"), "keys")
+
+
+def choose_rows(
+    df: DataFrame,
+    sites: DataFrame | None = None,
+    names: list[str] | None = None,
+    indices: list[int] | None = None,
+    by: DataFrame | None = None,
+    beg0: int | None = None,
+    end1: int | None = None,
+    block: int | None = None,
+    size: int = 1_000_000,
+    coordinates: bool = False,
+) -> DataFrame:
+    """Rows by the first way that is given: names or indices, a mask, a range or block, else the first two rows.
+
+    A list of names needs sites. coordinates: the rows' chrom and beg1, chosen alike, come along.
+    """
+    if (names is not None or coordinates) and sites is None:
+        raise ValueError("names and coordinates need sites")
+
+    def chosen(d: DataFrame) -> DataFrame:
+        if indices is not None:
+            return rows_by_index(d, indices)
+        if names is not None:
+            return rows_by_name(d, sites, names)
+        if by is not None:
+            return rows_by_mask(d, by)
+        if beg0 is not None:
+            return rows_between(d, beg0, end1)
+        return rows_between(d) if block is None else row_block(d, block, size)
+
+    if not coordinates:
+        return chosen(df)
+    if names is None:
+        return chosen(df.join(sites.select("row_id", "chrom", "beg1"), "row_id"))
+    # rows_by_name joins with sites' own columns
+    return chosen(df.join(sites.select("row_id", F.col("chrom").alias("site_chrom"), F.col("beg1").alias("site_beg1")), "row_id")).withColumnsRenamed({"site_chrom": "chrom", "site_beg1": "beg1"})
+
+
+def same_axis(*tracks: DataFrame) -> None:
+    """An error unless all samples of all tracks have the same number of rows. It reads their row ids once."""
+    sizes = [t.groupBy(*([F.col("sample")] if "sample" in t.columns else [])).agg(F.count("*").alias("n")).agg(F.min("n").alias("low"), F.max("n").alias("high")).first() for t in tracks]
+    ends = {x for r in sizes for x in (r.low, r.high) if x is not None}
+    if len(ends) > 1:
+        raise ValueError(f"tracks of {min(ends)} and of {max(ends)} rows")
+
+
 def split_names(samples: DataFrame, prefix: str | None = None, named: bool = True) -> DataFrame:
     """(sample, file): the file that each track of samples(sample, ord) goes to, by its name or by its 1-based place."""
     head = F.lit("" if prefix is None else prefix if named else f"{prefix}_")

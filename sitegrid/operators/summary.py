@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sitegrid.functions.scalars import beta, code2, log2_odds
 from sitegrid.operators.blocks import runs
+from sitegrid.operators.select import same_axis
 
 COLUMNS = ("query", "mask", "n_univ", "n_query", "n_mask", "n_overlap", "log2_odds_ratio", "beta", "depth")
 _T, _N = F.lit, F.col
@@ -66,10 +67,10 @@ def summary_sites(sites: DataFrame) -> DataFrame:
     return _finish(g.select(_N("chrom").alias("query"), F.lit("global").alias("mask"), "n_univ", "n_query", F.lit(0).alias("n_mask"), F.lit(0).alias("n_overlap"), F.lit(None).cast("double").alias("beta"), F.lit(0).alias("sum_depth")), False)
 
 
-def summary(query: DataFrame, q_kind: str, mask: DataFrame | None = None, m_kind: str | None = None, pseudo_count: int = 1, tag_keys: bool = False) -> DataFrame:
+def summary(query: DataFrame, q_kind: str, mask: DataFrame | None = None, m_kind: str | None = None, pseudo_count: int = 1, tag_keys: bool = False, strict: bool = False) -> DataFrame:
     """One row for each query and mask, and for each of their keys; see COLUMNS.
 
-    pseudo_count is added to overlaps of states with states. tag_keys prefixes keys with their track's name always.
+    strict: unequal numbers of rows are an error. pseudo_count is added to overlaps of states with states. tag_keys prefixes keys with their track's name always.
     Masks of the same axis are joined by row; the mask's side is broadcast by Spark only if its size allows.
     """
     if q_kind == "sites":
@@ -80,6 +81,8 @@ def summary(query: DataFrame, q_kind: str, mask: DataFrame | None = None, m_kind
     if mask is None:
         rows = q.withColumn("ms", F.lit("global")).withColumn("m", F.lit(True)).withColumn("mu", F.lit(True)).withColumn("mk", F.lit(None).cast("string"))
     else:
+        if strict:
+            same_axis(query, mask)
         rows = q.join(_mask(mask, m_kind), "row_id")
     univ = _N("qu") & (_N("mu") if q_kind in ("bits", "su") and m_kind == "su" else F.lit(True))
     g = rows.withColumn("w", univ).groupBy("qs", "ms", "qk", "mk").agg(
@@ -112,3 +115,17 @@ def summary(query: DataFrame, q_kind: str, mask: DataFrame | None = None, m_kind
         q_name = F.concat_ws("-", "qs", "qk") if tag_keys or m_kind in ("bits", "su") else _N("qk")
     m_name = F.when(_N("mk").isNotNull(), F.concat_ws("-", "ms", "mk") if tag_keys else _N("mk")).otherwise(F.concat(_N("ms"), F.lit("|1")) if q_kind == "su2bit" and mask is not None else _N("ms"))
     return _finish(h.withColumn("query", q_name).withColumn("mask", m_name).withColumn("beta", b).withColumn("sum_depth", F.lit(0)), mask is not None)
+
+
+def renamed(tracks: DataFrame, samples: DataFrame, names: list[str]) -> DataFrame:
+    """Tracks called names, in the order of samples(sample, ord), for a summary; fewer names than samples are an error."""
+    n = samples.count()
+    if n > len(names):
+        raise ValueError(f"{len(names)} names for {n} tracks")
+    new = tracks.sparkSession.createDataFrame(list(enumerate(names)), "ord bigint, new_name string")
+    return tracks.join(samples.join(new, "ord").select("sample", "new_name"), "sample").withColumn("sample", F.col("new_name")).drop("new_name")
+
+
+def with_files(result: DataFrame, q_file: str, m_file: str = "NA") -> DataFrame:
+    """A summary with the files of its query and mask in front."""
+    return result.select(F.lit(q_file).alias("q_file"), *result.columns[:1], F.lit(m_file).alias("m_file"), *result.columns[1:])

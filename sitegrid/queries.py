@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sitegrid.functions import scalars
 from sitegrid.operators import enrich, intervals, render, rowop, sampling, select, summary
 from sitegrid.plans.bindings import track, with_views
+from sitegrid.sources import text
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -175,3 +176,40 @@ _add(
 _add("perturb_su_all", lambda d, _: sampling.perturb(d, "su", 1.0), "su", sql="SELECT sample, row_id, CASE WHEN in_uni THEN NOT in_set ELSE in_set END AS in_set, in_uni FROM su")
 _add("perturb_bits", lambda b, _: sampling.perturb(b, "bits", 1.0), "bits", sql="SELECT sample, row_id, NOT bit AS bit FROM bits")
 _add("perturb_su", lambda d, _: sampling.perturb(d, "su", 0.05), "su")
+
+# options, descriptions and texts ---------------------------------------------------------------------------------------
+_INDEX = "i AS (SELECT sample, row_number() OVER (ORDER BY sample)-1 AS ord FROM (SELECT DISTINCT sample FROM mu))"
+_add(
+    "info_full",
+    lambda d, s, _: select.describe(d, "mu", select.index(d), "a.cx").union(select.describe(s, "states", file="b.cx")),
+    "mu",
+    "states",
+    sql=""", k AS (SELECT state, min(row_id) AS f FROM states GROUP BY 1),
+ w AS (SELECT *, 'N='||count(*) OVER ()||'|' AS head, coalesce(sum(length(state)+1) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)-1,0) AS before FROM k),
+ t AS (SELECT head||string_agg(state, ',' ORDER BY f) FILTER (length(head)+before<=25)||CASE WHEN count(*) FILTER (length(head)+before<=25)<count(*) THEN ',...' ELSE '' END AS keys FROM w GROUP BY head)
+ SELECT 'a.cx' AS file, sample, (SELECT CAST(count(DISTINCT sample) AS VARCHAR) FROM mu) AS n_col, count(*) AS n_rows, '3' AS format, CASE WHEN max(greatest(m,u))<15 THEN 1 WHEN max(greatest(m,u))<255 THEN 2 WHEN max(greatest(m,u))<65535 THEN 4 ELSE 8 END AS unit_bytes, 'NA' AS keys FROM mu GROUP BY sample
+ UNION ALL SELECT 'b.cx', '1', 'NA', (SELECT count(*) FROM states), '2', 0, keys FROM t""",
+)
+_add("rowsub_precedence", lambda d, b, _: select.choose_rows(d, indices=[4, 2], by=_by(b), beg0=7).unionAll(select.choose_rows(d, by=_by(b), beg0=7)), "mu", "bits", sql=", o AS (SELECT row_id, row_number() OVER (ORDER BY row_id)-1 AS n FROM bits WHERE sample='mod3' AND bit) SELECT sample, CASE row_id WHEN 3 THEN CAST(0 AS BIGINT) ELSE 1 END AS row_id, m, u FROM mu WHERE row_id IN (1,3) UNION ALL SELECT sample, n, m, u FROM mu JOIN o USING (row_id)")
+_add("rowsub_with_coord", lambda d, s, _: select.choose_rows(d, s, beg0=10, end1=60, coordinates=True), "mu", "sites", sql="SELECT sample, row_id-10 AS row_id, m, u, chrom, beg1 FROM mu JOIN sites USING (row_id) WHERE row_id BETWEEN 10 AND 59")
+_add("rowsub_sites", lambda s, _: select.choose_rows(s, block=1, size=64), "sites", sql="SELECT row_id-64 AS row_id, chrom, beg1 FROM sites WHERE row_id BETWEEN 64 AND 127")
+_add("summary_named", lambda d, _: summary.with_files(summary.summary(summary.renamed(d, select.index(d), [f"n{i}" for i in range(9)]), "mu"), "q.cx").select("q_file", "query", "m_file", "n_univ", "n_query"), "mu", sql=f", {_INDEX} SELECT 'q.cx' AS q_file, 'n'||ord AS query, 'NA' AS m_file, count(*) AS n_univ, count(*) FILTER (m+u>0) AS n_query FROM mu JOIN i USING (sample) GROUP BY ord")
+_add("hprint_sites_su", lambda d, s, _: render.site_view(d, "su", select.region(s, "chr2")), "su", "sites", sql="SELECT sample, CAST(0 AS BIGINT) AS block, string_agg(CASE WHEN NOT in_uni THEN '.' WHEN in_set THEN '\u2588' ELSE '\u2591' END, '' ORDER BY row_id) AS line FROM su JOIN sites USING (row_id) WHERE chrom='chr2' GROUP BY 1")
+_add("hprint_sites_deciles", lambda d, s, _: render.site_view(d, "betas", select.region(s, "chr1"), deciles=True), "beta_track", "sites", sql="SELECT sample, CAST(0 AS BIGINT) AS block, string_agg(coalesce(CAST(CAST(least(9,floor(beta*10)) AS INT) AS VARCHAR),'.'), '' ORDER BY row_id) AS line FROM beta_track JOIN sites USING (row_id) WHERE chrom='chr1' GROUP BY 1")
+_add("hprint_dump", lambda d, _: render.dump(d), "su", sql="SELECT sample, row_id//1048576 AS block, string_agg(CASE WHEN NOT in_uni THEN '2' WHEN in_set THEN '1' ELSE '0' END, '' ORDER BY row_id) AS line FROM su GROUP BY 1,2")
+_add("unpack_tail", lambda d, _: render.unpack_chosen(d, "mu", select.index(d), tail=2, n=-1), "mu", sql="SELECT row_id, max(m||chr(9)||u) FILTER (sample='S6') AS \"S6\", max(m||chr(9)||u) FILTER (sample='S7') AS \"S7\" FROM mu GROUP BY 1")
+_add("enrich_tables", lambda d, _: enrich.tables(d.select(F.concat_ws("\t", F.lit(1000), F.col("row_id") + 1, "m", "u", "sample").alias("value"))), "mu", sql="SELECT CAST(1000 AS BIGINT) AS nu, row_id+1 AS nd, m AS nq, u AS ndq, sample AS rest FROM mu")
+#: What text each kind of track is read from, in Spark and as its SQL's columns.
+_LINES = {
+    "bits": ("bits", "CAST(CAST(bit AS INT) AS STRING)", "sample, row_id, bit"),
+    "chars": ("bits", "CAST(CAST(bit AS INT) AS STRING)", "sample, row_id, CAST(CAST(bit AS INT) AS VARCHAR) AS ch"),
+    "states": ("states", "state", "sample, row_id, state"),
+    "mu": ("mu", "concat_ws('\t', m, u)", "sample, row_id, m, u"),
+    "betas": ("beta_track", "coalesce(CAST(beta AS STRING), 'NA')", "sample, row_id, round(beta,6) AS beta"),
+    "ternary": ("su", "CASE WHEN in_uni THEN CAST(CAST(in_set AS INT) AS STRING) ELSE '2' END", "sample, row_id, CASE WHEN in_uni THEN in_set END AS bit"),
+    "su": ("su", "concat_ws('\t', CAST(in_set AS INT), CAST(in_uni AS INT))", "sample, row_id, in_set, in_uni"),
+    "sites": ("sites", "concat_ws('\t', chrom, beg1 - 1, beg1 + 1)", "row_id, chrom, beg1"),
+}
+for _kind, (_view, _line, _columns) in _LINES.items():
+    _ids = ["row_id"] if _kind == "sites" else ["sample", "row_id"]
+    _add(f"text_{_kind}", lambda d, _, k=_kind, x=_line, ids=_ids: d.select(*ids, F.expr(x).alias("value")).select(*ids, *(c.alias(n) for n, c in text.columns(k).items())), _view, sql=f"SELECT {_columns} FROM {_view}")
