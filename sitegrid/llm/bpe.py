@@ -289,3 +289,19 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return arrow_map(encoded.select(id_col, ids_col), run, f"`{id_col}` {kind}, ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, ids, text): decode(encode(docs)) in one pass, so that a core has one Python worker and no ids travel twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = load(path)
+        for b in pieces(batches, 1):
+            rows = [a.encode_text(t or "") for t in b.column(1).to_pylist()]
+            off = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+            texts = pa.array([a.decode(r.tolist()) for r in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(rows))), texts], names=[id_col, "ids", "text"])
+        load.cache_clear()
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>, text string")

@@ -20,8 +20,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """Digests of the ids and of the text that they spell."""
-    path = public_tokenizers.path(BYTE_BPE)
-    spelled = bpe.decode(bpe.encode(docs, path), path)
+    spelled = bpe.round_trip(docs, public_tokenizers.path(BYTE_BPE))
     return spelled.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("decoded_sha256"))
 
 

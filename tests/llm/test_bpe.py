@@ -78,3 +78,11 @@ def test_one_transition_a_byte(library):
         got = a.encode(word.encode())
         a._reset()
         assert a.encode(word.encode()) == got
+
+
+def test_one_pass_as_two(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*EDGE_TEXTS, "again", "again"])], "doc_id long, text string")
+    two, one = bpe.decode(bpe.encode(df, path), path), bpe.round_trip(df, path)
+    assert two.schema == one.schema and sorted(map(repr, two.collect())) == sorted(map(repr, one.collect()))
+    assert bpe.round_trip(df.limit(0), path).collect() == []
